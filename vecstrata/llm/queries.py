@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as dec
 from . import packed_ids
+from . import warc
 from .shared import columns, new_path
 
 
@@ -22,6 +23,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    return warc.read_warc(spark, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op7_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
@@ -35,8 +43,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_warc": op6_warc,
     "op7_packed_token_ids": op7_packed_token_ids,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages),
+     d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) payload_bytes, sha256(h) payload_digest FROM p),
+     f AS (SELECT payload_digest, min(page_id) first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN f.first <> d.page_id THEN 'revisit' ELSE 'response' END record_type,
+       CASE WHEN f.first <> d.page_id THEN f.first END refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
+""",
+}
