@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as dec
 from . import packed_ids
-from . import warc
+from . import sharding, warc
 from .shared import columns, new_path
 
 
@@ -37,6 +37,10 @@ def op7_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.read_ids(spark, packed_ids.write_ids(docs, new_path(spark, "packed-ids"), made, end_id=2))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     return dec.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -45,6 +49,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_packed_token_ids": op7_packed_token_ids,
+    "op9_sharding": op9_sharding,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
