@@ -160,7 +160,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, text_col: str = "text",
 
 def _joined(docs: DataFrame, items: DataFrame, text_col: str, window: int, k: int) -> DataFrame:
     """As decontaminate, for benchmarks of any size: equal texts are judged once."""
-    items = items.withColumn("_n", F.size(F.regexp_extract_all("text", F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1)) if False else F.expr(r"regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', 0)")))
+    items = items.withColumn("_n", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))))
     short = [r["_n"] for r in items.where(f"_n between 1 and {window - 1}").select("_n").distinct().collect()]
     texts = docs.select(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("_sha"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     distinct = texts.dropDuplicates(["_sha"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as dec
 from . import packed_ids
-from . import sharding, warc
+from . import language_id, sharding, warc
 from .shared import columns, new_path
 
 
@@ -23,6 +23,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang")
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -47,6 +54,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_language_id": op5_language_id,
     "op6_warc": op6_warc,
     "op7_packed_token_ids": op7_packed_token_ids,
     "op9_sharding": op9_sharding,
