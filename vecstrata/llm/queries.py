@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as dec
 from . import packed_ids
-from . import language_id, sharding, warc
+from . import language_id, sharding, token_counts, unigram, warc
+from . import sentencepiece_codec as codec
 from .shared import columns, new_path
 
 
@@ -23,6 +24,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    return token_counts.token_counts(docs, unigram.load_pieces(tokenizer_path("piece_bpe_32k.model")))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    return codec.round_trips(docs, unigram.load_pieces(tokenizer_path("piece_bpe_32k.model")))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang")
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
@@ -54,6 +65,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
     "op6_warc": op6_warc,
     "op7_packed_token_ids": op7_packed_token_ids,
