@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as dec
 from . import packed_ids
-from . import language_id, sharding, token_counts, unigram, warc
+from . import fingerprints, language_id, licenses, sharding, token_counts, unigram, warc
 from . import sentencepiece_codec as codec
 from .shared import columns, new_path
 
@@ -29,6 +29,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, unigram.load_pieces(tokenizer_path("piece_bpe_32k.model")))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    return licenses.scan(docs).drop("text")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     return codec.round_trips(docs, unigram.load_pieces(tokenizer_path("piece_bpe_32k.model")))
@@ -55,6 +60,12 @@ def op7_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.read_ids(spark, packed_ids.write_ids(docs, new_path(spark, "packed-ids"), made, end_id=2))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare(table(spark, sf_dir, "documents"))
+    kept = {"fingerprint": fingerprints.digest(found["entries"]), "edited_fingerprint": fingerprints.digest(found["edited_entries"])}
+    return found.withColumns(kept).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -66,15 +77,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_license_scan": op3_license_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
     "op6_warc": op6_warc,
     "op7_packed_token_ids": op7_packed_token_ids,
+    "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": licenses.oracle_sql(),
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages),
      d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) payload_bytes, sha256(h) payload_digest FROM p),
