@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as dec
 from . import packed_ids
-from . import fingerprints, language_id, licenses, sharding, token_counts, unigram, warc
+from . import fingerprints, language_id, licenses, ngram_join, sharding, token_counts, unigram, warc
 from . import sentencepiece_codec as codec
 from .shared import columns, new_path
 
@@ -24,6 +24,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents")).drop("text_hash", "class_node")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     return token_counts.token_counts(docs, unigram.load_pieces(tokenizer_path("piece_bpe_32k.model")))
@@ -76,6 +80,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op3_license_scan": op3_license_scan,
     "op4_sentencepiece": op4_sentencepiece,
@@ -88,6 +93,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) g FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a, min(b) m FROM r GROUP BY a),
+c AS (SELECT a, count(*) n_links FROM l GROUP BY a),
+q AS (SELECT s.doc_id, md5(string_agg(g, '|' ORDER BY g)) h FROM s GROUP BY s.doc_id),
+e AS (SELECT h, count(*) e FROM q GROUP BY h)
+SELECT d.doc_id, least(d.doc_id, coalesce(k.m, d.doc_id)) class_id, coalesce(e.e, 1) n_copies, coalesce(c.n_links, 0) n_links
+FROM documents d LEFT JOIN k ON k.a = d.doc_id LEFT JOIN c ON c.a = d.doc_id LEFT JOIN q ON q.doc_id = d.doc_id LEFT JOIN e ON e.h = q.h
+""",
     "op3_license_scan": licenses.oracle_sql(),
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages),
