@@ -164,7 +164,7 @@ class Encoder:
     """
 
     #: Pieces remembered by a worker; bounds its memory.
-    REMEMBERED = 600_000
+    REMEMBERED = 1_200_000
     _ODD = re.compile(r" \s|\s |\A\s|\s\Z|[\x1c-\x1f\x85]")
     _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
@@ -182,6 +182,7 @@ class Encoder:
         rest = [b for b in range(256) if b not in shown]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.model = self.whole.model
+        self.marks: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -190,9 +191,13 @@ class Encoder:
 
     def _new(self, piece: str, space: str) -> bytes:
         if m := self._PLAIN.match(piece):
-            ids = self._token_ids(space + m[1])
             if m[2]:
-                ids += self._token_ids(m[2])
+                if (marks := self.marks.get(m[2])) is None:
+                    marks = np.array(self._token_ids(m[2]), "<u4").tobytes()
+                    if len(self.marks) < 10_000:
+                        self.marks[m[2]] = marks
+                return self._get(m[1], space) + marks
+            ids = self._token_ids(space + m[1])
         elif "\n" in piece and "\n\n" not in piece and not re.search(r"\s(?<!\n)", piece):
             lines = piece.split("\n")  # a lone line break is a pre-token of its own
             end = self._token_ids("\n")
@@ -222,14 +227,8 @@ class Encoder:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         pieces = text.split(" ")
         known, get = self.later, self._get
-        out = [get(pieces[0], "")]
-        try:
-            out.extend(map(known.__getitem__, pieces[1:]))
-        except KeyError:
-            out = out[:1]
-            look = known.get
-            out.extend([look(p) or get(p, " ") for p in pieces[1:]])
-        return b"".join(out)
+        look, first = known.get, get(pieces[0], "")
+        return first + b"".join([look(p) or get(p, " ") for p in pieces[1:]])
 
 
 _ENCODERS: dict[int, Encoder] = {}
