@@ -229,28 +229,32 @@ def decode(docs: DataFrame, pieces: Pieces, *, ids_col: str = "ids", text_out: s
     return docs.mapInArrow(run, f"{schema}, `{text_out}` string")
 
 
-def round_trips(docs: DataFrame, pieces: Pieces, *, text_col: str = "text") -> DataFrame:
+def round_trips(docs: DataFrame, pieces: Pieces, *, text_col: str = "text", ids_col: str | None = None) -> DataFrame:
     """docs without the text, with ENCODED: the whole text is encoded and decoded again in one pass.
 
     n_fallback counts ids that stand for a byte; ids_crc32 is that of the ids as
     little-endian unsigned 32-bit integers; round_trip: the decoded text is the text.
+    The ids themselves are added if ids_col names a column for them.
     """
     codec = docs.sparkSession.sparkContext.broadcast(Codec(pieces))
     added = [c.split()[0] for c in ENCODED.split(", ")]
-    docs = docs.drop(*added)
+    docs = docs.drop(*added, *filter(None, [ids_col]))
     kept = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = Worker(codec.value)
         for batch in batches:
             for first, part in runs(batch.column(text_col)):
-                rows = []
-                for text, data in zip(part, worker.encode(part), strict=True):
+                rows, encoded = [], worker.encode(part)
+                for text, data in zip(part, encoded, strict=True):
                     ids = np.frombuffer(data, "<u4")
                     back = worker.codec.decode(ids)
                     rows.append((len(ids), int(worker.codec.is_byte[ids].sum()), zlib.crc32(data), hashlib.sha256(back).hexdigest(), back == (text or "").encode()))
                 new = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(part)) for c in kept), *new], names=[*kept, *added])
+                if ids_col:
+                    ends = np.cumsum([0, *(len(x) // 4 for x in encoded)])
+                    new.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), "<i4"), pa.int32())))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(part)) for c in kept), *new], names=[*kept, *added, *filter(None, [ids_col])])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.mapInArrow(run, ", ".join(filter(None, [schema, ENCODED])))
+    return docs.mapInArrow(run, ", ".join(filter(None, [schema, ENCODED, f"`{ids_col}` array<int>" if ids_col else ""])))
