@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ScanError
@@ -67,8 +67,32 @@ def mean_recalls(result: DataFrame, truth: DataFrame, queries: QuerySet, ks: lis
     return recall_at_k(result, truth, queries, ks).groupBy("k").agg(F.avg("recall").alias("recall"))
 
 
-def _pools(ranked: DataFrame, cell: Cell, k: int) -> DataFrame:
-    return ranked.where(F.col("rank") <= cell.factor * k).select("qid", "id")
+def _pools(factors: list[int], ks: list[int]) -> Column:
+    return F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(k).alias("k")) for f in factors for k in ks])
+
+
+def _reranked(ranked: DataFrame, corpus: Corpus, queries: QuerySet, store: str, factors: list[int], ks: list[int]) -> DataFrame:
+    """factor, k, qid, id: the k best of each pool of factor * k, all pools in one pass.
+
+    Every pool is a prefix of the coarse result, so each of its rows is scored
+    once and then ranked in the pools that hold it.
+    """
+    deep = max(factors) * max(ks)
+    pool = ranked.where(F.col("rank") <= deep).select("qid", "id", F.col("rank").alias("at"))
+    scored = STORES[store].pool_scores(corpus, queries, pool)
+    each = scored.withColumn("p", F.explode(_pools(factors, ks))).where(F.col("at") <= F.col("p.factor") * F.col("p.k")).select("p.factor", "p.k", "qid", "id", "score")
+    order = Window.partitionBy("factor", "k", "qid").orderBy(F.desc("score"), "id")
+    return each.withColumn("rank", F.row_number().over(order)).where("rank <= k").select("factor", "k", "qid", "id")
+
+
+def _pool_recalls(best: DataFrame, truth: DataFrame, queries: QuerySet, factors: list[int], ks: list[int]) -> DataFrame:
+    """factor, k and mean recall of what _reranked gives."""
+    want = gt_prefixes(truth, ks)
+    hits = best.join(want, ["k", "qid", "id"], "left_semi").groupBy("factor", "k", "qid").agg(F.count("*").alias("hits"))
+    of = want.groupBy("k", "qid").agg(F.count("*").alias("of"))
+    each = queries.df.select(F.col("id").alias("qid"), F.explode(_pools(factors, ks)).alias("p")).select("qid", "p.factor", "p.k")
+    share = F.when(F.coalesce("of", F.lit(0)) == 0, F.lit(1.0)).otherwise(F.coalesce("hits", F.lit(0)) / F.col("of"))
+    return each.join(of, ["k", "qid"], "left").join(hits, ["factor", "k", "qid"], "left").groupBy("factor", "k").agg(F.avg(share).alias("recall"))
 
 
 def recalls(corpus: Corpus, queries: QuerySet, cells: list[Cell], ks: list[int], truth: DataFrame, filter: IdFilter | None = None, **options) -> DataFrame:
@@ -85,14 +109,14 @@ def recalls(corpus: Corpus, queries: QuerySet, cells: list[Cell], ks: list[int],
             continue
         deep = max([kmax, *(c.factor * kmax for c in mine if c.factor)])
         ranked = scorer.top_k(corpus, queries, deep, filter, **options).persist()
-        for cell in mine:
-            if cell.store is None:
-                part = mean_recalls(ranked, truth, queries, ks)
-                out.append(part.select(F.lit(cell.label).alias("config"), "k", "recall"))
-                continue
-            for k in ks:
-                best = STORES[cell.store].rerank(corpus, queries, _pools(ranked, cell, k), k)
-                out.append(mean_recalls(best, truth, queries, [k]).select(F.lit(cell.label).alias("config"), "k", "recall"))
+        for cell in [c for c in mine if c.store is None]:
+            out.append(mean_recalls(ranked, truth, queries, ks).select(F.lit(cell.label).alias("config"), "k", "recall"))
+        for store in STORES:
+            factors = [c.factor for c in mine if c.store == store]
+            if factors:
+                found = _pool_recalls(_reranked(ranked, corpus, queries, store, factors, ks), truth, queries, factors, ks)
+                label = F.element_at(F.create_map(*[F.lit(x) for f in factors for x in (f, Cell(coarse, store, f).label)]), F.col("factor"))
+                out.append(found.select(label.alias("config"), "k", "recall"))
     rows = out[0]
     for part in out[1:]:
         rows = rows.unionByName(part)
@@ -132,10 +156,9 @@ def run_matrix(corpus: Corpus, queries: QuerySet, cells: list[Cell], ks: list[in
         ranked.count()
         shared = time.perf_counter() - began
         for cell in mine:
-            began, found = time.perf_counter(), []
-            for k in ks:
-                best = STORES[cell.store].rerank(corpus, queries, _pools(ranked, cell, k), k)
-                found.append((k, mean_recalls(best, truth, queries, [k]).first()["recall"]))
+            began = time.perf_counter()
+            best = _reranked(ranked, corpus, queries, cell.store, [cell.factor], ks)
+            found = sorted((r["k"], r["recall"]) for r in _pool_recalls(best, truth, queries, [cell.factor], ks).collect())
             took = shared + time.perf_counter() - began
             for k, recall in found:
                 add(cell, k, recall, took)

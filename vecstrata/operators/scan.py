@@ -109,10 +109,13 @@ class Scorer(Enum):
             raise UnknownIdError("a pool names an id that the corpus lacks")
         if not strict:
             pairs = pairs.distinct()
+        return ranked(self.pool_scores(corpus, queries, pairs), k, strict_order)
+
+    def pool_scores(self, corpus: Corpus, queries: QuerySet, pool: DataFrame) -> DataFrame:
+        """pool (qid, id and others) with the score of each of its rows."""
         corpus, queries = self.encoded(corpus, self.row_columns), self.encoded(queries, self.query_columns)
         c, q = self._structs(corpus, queries)
-        scored = pairs.join(c, "id").join(q, "qid").select("qid", "id", self.column().alias("score"))
-        return ranked(scored, k, strict_order)
+        return pool.join(c, "id").join(q, "qid").select(*pool.columns, self.column().alias("score"))
 
     def _structs(self, corpus: Corpus, queries: QuerySet) -> tuple[DataFrame, DataFrame]:
         def side(v, names: list[str], key: str, alias: str) -> DataFrame:
