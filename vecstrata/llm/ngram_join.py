@@ -131,16 +131,15 @@ def _sets(docs: DataFrame, forest: Forest) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node binary, shingles binary")
 
 
-def _meet(tree: int, rows: list[tuple], threshold: float) -> list[tuple[bytes, bytes, int]]:
+def _meet(tree: int, across: bool, rows: list[tuple], threshold: float) -> list[tuple[bytes, bytes, int]]:
     """node, a node of its class, weight of its links, for the linked nodes of a block.
 
-    rows: node, copies, paths, shingles and side; if both sides are there, only pairs across count.
+    rows: node, copies, paths, shingles and side; `across`: only pairs of different sides count.
     """
     rows = sorted({r[0]: r for r in rows}.values())
     m = len(rows)
     paths = np.stack([np.frombuffer(r[2], "<u8") for r in rows])
     side = np.array([r[4] for r in rows])
-    across = len(set(side.tolist())) > 1
     size = np.array([len(r[3]) // 8 for r in rows])
     new = np.zeros((m, m), bool)
     for i in range(m - 1):
@@ -238,13 +237,13 @@ def similar(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text",
             for *block_id, side, node, copies, paths, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block_id != here:
                     if len(rows) > 1:
-                        out += _meet(here[0], rows, threshold)
+                        out += _meet(here[0], here[2] != here[3], rows, threshold)
                     here, rows = block_id, []
                 rows.append((node, copies, paths, values, side))
             yield result(out)
             out = []
         if len(rows) > 1:
-            yield result(_meet(here[0], rows, threshold))
+            yield result(_meet(here[0], here[2] != here[3], rows, threshold))
 
     links = written(met.select("tree", "prefix", "lo", "hi", "own", "node", "copies", "paths", "shingles").mapInArrow(verify, "a binary, b binary, weight long"), "ngram-links")
     weights = links.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("weight"))
