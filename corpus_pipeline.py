@@ -24,7 +24,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language_id.fit(docs)
     told = language_id.identify(docs, model, lang_out="_lang_pred", score_out="_lang_score")
     if not model.langs:  # nothing to learn from: only letterless texts can be told apart
-        return docs.where(docs["text"].rlike(r"\\p{L}"))
+        return docs.where(docs["text"].rlike(r"\p{L}"))
     return told.where(f"_lang_pred <> '{language_id.UNDETERMINED}' and _lang_score >= {LEAST_SCORE}").select(*docs.columns)
 
 

@@ -82,8 +82,6 @@ class Scorer:
         self.scores = np.zeros((1024, len(model.langs)))
 
     def _row(self, w: str) -> int:
-        if len(self.rows) >= REMEMBERED:
-            self.rows.clear()
         i = self.rows[w] = len(self.rows)
         if i >= len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
