@@ -85,42 +85,49 @@ def _reranked(ranked: DataFrame, corpus: Corpus, queries: QuerySet, store: str,
     return each.withColumn("rank", F.row_number().over(order)).where("rank <= k").select("factor", "k", "qid", "id")
 
 
-def _pool_recalls(best: DataFrame, truth: DataFrame, queries: QuerySet, factors: list[int], ks: list[int]) -> DataFrame:
-    """factor, k and mean recall of what _reranked gives."""
+def _hits(ranked: DataFrame, corpus: Corpus, queries: QuerySet, cells: list[Cell], ks: list[int]) -> list[DataFrame]:
+    """config, k, qid, id of what cells of one coarse scan return, a table per kind of cell."""
+    out = [gt_prefixes(ranked, ks).select(F.lit(c.label).alias("config"), "k", "qid", "id") for c in cells if c.store is None]
+    for store in STORES:
+        by_factor = {c.factor: c.label for c in cells if c.store == store}
+        if by_factor:
+            label = F.create_map(*[F.lit(x) for pair in by_factor.items() for x in pair])[F.col("factor")]
+            out.append(_reranked(ranked, corpus, queries, store, list(by_factor), ks).select(label.alias("config"), "k", "qid", "id"))
+    return out
+
+
+def _means(found: list[DataFrame], configs: list[str], truth: DataFrame, queries: QuerySet, ks: list[int]) -> DataFrame:
+    """config, k and recall over all queries, for the hits of many configurations at once."""
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
     want = gt_prefixes(truth, ks)
-    hits = best.join(want, ["k", "qid", "id"], "left_semi").groupBy("factor", "k", "qid").agg(F.count("*").alias("hits"))
+    hits = every.join(want, ["k", "qid", "id"], "left_semi").groupBy("config", "k", "qid").agg(F.count("*").alias("hits"))
     of = want.groupBy("k", "qid").agg(F.count("*").alias("of"))
-    each = queries.df.select(F.col("id").alias("qid"), F.explode(_pools(factors, ks)).alias("p")).select("qid", "p.factor", "p.k")
+    cells = F.array(*[F.struct(F.lit(c).alias("config"), F.lit(k).alias("k")) for c in configs for k in ks])
+    each = queries.df.select(F.col("id").alias("qid"), F.explode(cells).alias("p")).select("qid", "p.config", "p.k")
     share = F.when(F.coalesce("of", F.lit(0)) == 0, F.lit(1.0)).otherwise(F.coalesce("hits", F.lit(0)) / F.col("of"))
-    return each.join(of, ["k", "qid"], "left").join(hits, ["factor", "k", "qid"], "left").groupBy("factor", "k").agg(F.avg(share).alias("recall"))
+    return each.join(of, ["k", "qid"], "left").join(hits, ["config", "k", "qid"], "left").groupBy("config", "k").agg(F.avg(share).alias("recall"))
 
 
 def recalls(corpus: Corpus, queries: QuerySet, cells: list[Cell], ks: list[int], truth: DataFrame, filter: IdFilter | None = None, **options) -> DataFrame:
     """config, k and recall of all cells, as one lazy table.
 
-    Cells of one coarse scan share it at the largest depth they need: shorter results and pools are its prefixes.
+    Cells of one coarse scan share it at the largest depth they need: shorter
+    results and pools are its prefixes. The coarse results and the truth are kept
+    in Spark's cache, which the caller may clear.
     """
     if queries.is_empty():
         raise ScanError("there is no query to measure recall with")
-    kmax, out = max(ks), []
+    kmax, out, truth = max(ks), [], truth.persist()
     for coarse, scorer in COARSE.items():
         mine = [c for c in cells if c.coarse == coarse]
         if not mine:
             continue
         deep = max([kmax, *(c.factor * kmax for c in mine if c.factor)])
         ranked = scorer.top_k(corpus, queries, deep, filter, **options).persist()
-        for cell in [c for c in mine if c.store is None]:
-            out.append(mean_recalls(ranked, truth, queries, ks).select(F.lit(cell.label).alias("config"), "k", "recall"))
-        for store in STORES:
-            factors = [c.factor for c in mine if c.store == store]
-            if factors:
-                found = _pool_recalls(_reranked(ranked, corpus, queries, store, factors, ks), truth, queries, factors, ks)
-                label = F.element_at(F.create_map(*[F.lit(x) for f in factors for x in (f, Cell(coarse, store, f).label)]), F.col("factor"))
-                out.append(found.select(label.alias("config"), "k", "recall"))
-    rows = out[0]
-    for part in out[1:]:
-        rows = rows.unionByName(part)
-    return rows
+        out += _hits(ranked, corpus, queries, mine, ks)
+    return _means(out, [c.label for c in cells], truth, queries, ks)
 
 
 def run_matrix(corpus: Corpus, queries: QuerySet, cells: list[Cell], ks: list[int], truth: DataFrame, filter: IdFilter | None = None, *, filter_s: float = 1.0, seed: int = 0, backend: str | None = None) -> list[tuple]:
@@ -157,8 +164,8 @@ def run_matrix(corpus: Corpus, queries: QuerySet, cells: list[Cell], ks: list[in
         shared = time.perf_counter() - began
         for cell in mine:
             began = time.perf_counter()
-            best = _reranked(ranked, corpus, queries, cell.store, [cell.factor], ks)
-            found = sorted((r["k"], r["recall"]) for r in _pool_recalls(best, truth, queries, [cell.factor], ks).collect())
+            means = _means(_hits(ranked, corpus, queries, [cell], ks), [cell.label], truth, queries, ks)
+            found = sorted((r["k"], r["recall"]) for r in means.collect())
             took = shared + time.perf_counter() - began
             for k, recall in found:
                 add(cell, k, recall, took)

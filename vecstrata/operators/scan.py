@@ -156,10 +156,12 @@ class Scorer(Enum):
 
 
 def _backend(name: str | None, queries: QuerySet) -> str:
+    """The backend to use: queries beyond the bound are joined, whatever the name."""
     if name is not None and kernels.by_name(name) is None:
         raise ValueError(f"backend must be one of {kernels.NAMES}, not {name!r}")
     found = name or kernels.detected()
-    return "catalyst" if found == "arrow" and queries.count() * queries.dim * 4 > QUERY_BYTES else found
+    most = QUERY_BYTES // (queries.dim * 4)
+    return "catalyst" if found == "arrow" and queries.df.select("id").limit(most + 1).count() > most else found
 
 
 def _columns(batches: list[pa.RecordBatch], names: list[str], dim: int, n_bytes: int) -> dict[str, np.ndarray]:

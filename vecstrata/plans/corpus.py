@@ -79,14 +79,24 @@ class Corpus(Vectors):
     """The vectors that are searched."""
 
     @classmethod
-    def from_dataframe(cls, df: DataFrame, id_col: str = "id", vector_col: str = "embedding", dim: int | None = None, *, strict: bool = True, u32_ids: bool = False, keep: tuple[str, ...] = ()) -> Corpus:
+    def from_dataframe(cls, df: DataFrame, id_col: str = "id", vector_col: str = "embedding", dim: int | None = None, *, strict: bool = True, validate: bool = True, u32_ids: bool = False, keep: tuple[str, ...] = ()) -> Corpus:
         """A corpus of float vectors. Rows without a vector or with a null element
-        are an error (strict) or left out; `keep` names columns for filters."""
+        are an error (strict) or left out; `keep` names columns for filters.
+
+        Validation reads all vectors once. Without it the first row gives the
+        dimension, and a scan fails in the task that meets a row of another shape.
+        """
         df = df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<float>").alias("embedding"), *[df[c] for c in keep])
         whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda v: v.isNull()) & F.col("id").isNotNull()
+        df = df if strict else df.where(whole)
+        if not validate:
+            first = None if dim else df.select(F.size("embedding").alias("n")).first()
+            dim = dim or (first["n"] if first else None)
+            if not dim or dim < 0:
+                raise ZeroDimError
+            return cls(df, dim)
         if strict and not df.where(~whole).isEmpty():
             raise StorageError("a vector, an element or an id is null")
-        df = df if strict else df.where(whole)
         if u32_ids and (n := df.count()) > U32_ROWS:
             raise TooManyRowsError(n)
         return cls(df, _dim(df, "embedding", dim))
@@ -138,8 +148,8 @@ class QuerySet(Vectors):
     """The vectors that are searched for; id is the query's."""
 
     @classmethod
-    def from_dataframe(cls, df: DataFrame, id_col: str = "id", vector_col: str = "embedding", dim: int | None = None) -> QuerySet:
-        made = Corpus.from_dataframe(df, id_col, vector_col, dim)
+    def from_dataframe(cls, df: DataFrame, id_col: str = "id", vector_col: str = "embedding", dim: int | None = None, *, validate: bool = True) -> QuerySet:
+        made = Corpus.from_dataframe(df, id_col, vector_col, dim, validate=validate)
         return cls(made.df, made.dim)
 
     @classmethod

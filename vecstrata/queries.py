@@ -19,12 +19,12 @@ FIXED_SCALE_OVER = 127
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus.from_dataframe(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", keep=("label",))
+    return Corpus.from_dataframe(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", keep=("label",), validate=False)
 
 
 def query_set(spark: SparkSession, sf_dir: str) -> QuerySet:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(f"vec_id < {QUERIES_BELOW}")
-    return QuerySet.from_dataframe(rows, "vec_id", "embedding")
+    return QuerySet.from_dataframe(rows, "vec_id", "embedding", validate=False)
 
 
 def _scan(scorer: Scorer, filter: Callable[[SparkSession], IdFilter] | None = None, k: int = K) -> Query:
