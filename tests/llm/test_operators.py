@@ -256,6 +256,15 @@ def test_fingerprints(spark, docs, rows):
     assert alone[0]["near_next"] == 1.0 and fingerprints.compare(docs.where("false")).count() == 0
 
 
+def test_likeness(spark):
+    r = np.random.default_rng(4)
+    bags = [sorted(r.integers(0, 6, n).tolist()) for n in (0, 1, 5, 9, 20, 20)]
+    df = spark.createDataFrame([(a, b) for a in bags for b in bags], "a array<long>, b array<long>")
+    for x in df.withColumn("s", fingerprints.likeness(F.col("a"), F.col("b"))).collect():
+        a, b = collections.Counter(x["a"]), collections.Counter(x["b"])
+        assert x["s"] == pytest.approx(sum((a & b).values()) / sum((a | b).values()) if a | b else 1.0)
+
+
 def test_fingerprints_many_blocks(spark):
     rows = [(i * 7 % 1009, f"text {i} " * (i % 5 + 1)) for i in range(1009)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)

@@ -9,16 +9,19 @@ the positions say where. A kept entry is one long: 36 bits of the hash above 27
 bits of the position counted down, which makes the least long the rightmost
 least hash. Windows cover the whole text.
 
-Likeness is the share of common hashes among all of both (1 if both have none).
+Likeness is the share of common hashes among all of both, a repeated hash
+counting each time (1 if both have none).
 
 Defined results: a null text counts as empty and has no entries; a text of
 fewer than k tokens has one hash of all of them; fewer than k + width - 1 tokens
 make one window; equal texts have equal fingerprints. The document after the
-last is the first; equal keys are ordered by their text; null keys come first.
+last is the first; equal keys are ordered by a hash of their text; null keys come first.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +29,10 @@ K, WIDTH = 3, 4
 POSITION_BITS = 27
 TOKENS = r"[\p{L}\p{M}\p{N}]{1,8}|[^\s\p{L}\p{M}\p{N}]"
 _LAST = (1 << POSITION_BITS) - 1
-#: Documents that a task looks at next to each other, about.
-BLOCK_ROWS = 4000
+#: Documents that stand next to each other in a window, about, and the most windows.
+BLOCK_ROWS, MOST_BLOCKS = 1000, 1 << 16
+#: Quantiles are searched in steps of so many.
+STEP = 256
 
 
 def entries(text: Column, k: int = K, width: int = WIDTH) -> Column:
@@ -59,8 +64,8 @@ def _winnowed(grams: Column, width: int) -> Column:
 
 
 def hashes(kept: Column) -> Column:
-    """Distinct hashes of kept entries."""
-    return F.array_distinct(F.transform(kept, lambda x: F.shiftright(x, POSITION_BITS)))
+    """Sorted hashes of kept entries, repeated ones included."""
+    return F.sort_array(F.transform(kept, lambda x: F.shiftright(x, POSITION_BITS)))
 
 
 def positions(kept: Column) -> Column:
@@ -69,10 +74,18 @@ def positions(kept: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of common hashes, from hashes() of both texts."""
-    common = F.size(F.array_intersect(a, b))
+    """Share of common hashes, from hashes() of both texts; a repeated hash counts each time."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("same"))
+
+    def merge(at: Column, _: Column) -> Column:
+        x, y = F.get(a, at["i"]), F.get(b, at["j"])  # null behind the end
+        move = lambda i, j, same: F.struct((at["i"] + i).alias("i"), (at["j"] + j).alias("j"), (at["same"] + same).alias("same"))
+        return F.when(x == y, move(1, 1, 1)).when(x < y, move(1, 0, 0)).when(y < x, move(0, 1, 0)).otherwise(at)
+
+    steps = F.when(F.size(a) + F.size(b) > 0, F.sequence(F.lit(1), F.size(a) + F.size(b))).otherwise(F.array().cast("array<int>"))
+    common = F.when(a == b, F.size(a)).otherwise(F.aggregate(steps, start, merge, lambda at: at["same"]))
     both = F.size(a) + F.size(b) - common
-    return F.when(both == 0, F.lit(1.0)).otherwise(common / both)
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(common / both)
 
 
 def digest(kept: Column) -> Column:
@@ -80,29 +93,41 @@ def digest(kept: Column) -> Column:
     return F.sha2(F.array_join(kept.cast("array<string>"), ","), 256)
 
 
+def _listed(values: list, kind: str) -> Column:
+    """A constant array, however long."""
+    return F.expr(f"from_json('{json.dumps(values)}', 'array<{kind}>')")
+
+
+def _block(key: Column, cuts: list[int]) -> Column:
+    """The number of sorted cuts that are not above the key, found among every STEP-th first."""
+    below = lambda c: F.size(F.filter(c, lambda x: x <= key))
+    coarse = below(_listed(cuts[STEP - 1 :: STEP], "bigint")) * STEP
+    return _let(coarse, lambda i: i + below(F.slice(_listed(cuts, "bigint"), i + 1, F.lit(STEP))))
+
+
 def with_next(docs: DataFrame, key: str, text: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, Window]:
     """docs with `_own` (false for copies) and the window in which lead() gives the next document.
 
-    Rows are put into blocks by quantiles of the key; the first row of each
+    Rows are put into blocks by quantiles of the integer key; the first row of each
     block also goes, as a copy, to the block before, the first of all to the last.
     """
     n = docs.count()
-    parts = max(1, min(4096, n // block_rows))
-    cuts = docs.agg(F.expr(f"approx_percentile({key}, array({', '.join(str(i / parts) for i in range(1, parts))}), {max(10_000, 10 * parts)})").alias("c")).first()["c"] if parts > 1 else []
+    parts = max(1, min(MOST_BLOCKS, n // block_rows))
+    shares = _listed([i / parts for i in range(1, parts)], "double")
+    cuts = docs.agg(F.percentile_approx(key, shares, max(10_000, 10 * parts)).alias("c")).first()["c"] if parts > 1 else []
     cuts = sorted(set(cuts or []))
-    block = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))), F.lit(0)) if cuts else F.lit(0)
-    placed = docs.withColumn("_block", F.when(F.col(key).isNull(), 0).otherwise(block).cast("int"))
+    placed = docs.withColumn("_block", F.when(F.col(key).isNull() | F.lit(not cuts), 0).otherwise(_block(F.col(key), cuts) if cuts else F.lit(0)))
     order = F.struct(F.col(key).isNotNull().alias("a"), F.col(key).alias("b"), F.xxhash64(text).alias("c"))
     firsts = placed.groupBy("_block").agg(F.min(order).alias("_first")).orderBy("_block").collect()  # one row per block
-    if not firsts:
-        return placed.withColumn("_own", F.lit(True)), Window.partitionBy("_block").orderBy(key)
-    before = {r["_block"]: firsts[i - 1]["_block"] for i, r in enumerate(firsts)}
-    to, marks = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.create_map(*[F.lit(x) for r in firsts for x in (r["_block"], r["_first"]["c"])])
-    keys = F.create_map(*[x for r in firsts for x in (F.lit(r["_block"]), F.lit(r["_first"]["b"]).cast(docs.schema[key].dataType))])
-    is_first = F.col(key).eqNullSafe(keys[F.col("_block")]) & (F.xxhash64(text) == marks[F.col("_block")])
-    here = F.struct(F.col("_block").alias("block"), F.lit(True).alias("own"))
-    there = F.struct(to[F.col("_block")].alias("block"), F.lit(False).alias("own"))
-    spread = placed.withColumn("_to", F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here))))
+    blocks = len(cuts) + 1
+    before, keys, marks = [None] * blocks, [None] * blocks, [None] * blocks
+    for i, r in enumerate(firsts):
+        before[r["_block"]], keys[r["_block"]], marks[r["_block"]] = firsts[i - 1]["_block"], r["_first"]["b"], r["_first"]["c"]
+    here = lambda values: F.get(_listed(values, "bigint"), F.col("_block"))
+    is_first = F.col(key).eqNullSafe(here(keys)) & (F.xxhash64(text) == here(marks))
+    own = F.struct(F.col("_block").alias("block"), F.lit(True).alias("own"))
+    copy = F.struct(here(before).cast("int").alias("block"), F.lit(False).alias("own"))
+    spread = placed.withColumn("_to", F.explode(F.when(is_first, F.array(own, copy)).otherwise(F.array(own))))
     spread = spread.withColumn("_block", F.col("_to.block")).withColumn("_own", F.col("_to.own")).drop("_to")
     return spread, Window.partitionBy("_block").orderBy(F.desc("_own"), F.col(key).asc_nulls_first(), F.xxhash64(text))
 
@@ -113,11 +138,12 @@ def compare(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text",
     The edited text has its last floor(n_chars / 4) code points replaced by the
     first as many (or all) of the next document in ascending key order.
     """
-    rows = docs.select(docs[key_col].alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = docs.select(docs[key_col].cast("long").alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     spread, window = with_next(rows, "key", "text")
     quarter = F.floor(F.length("text") / 4).cast("int")
     rows = spread.withColumn("next_text", F.lead("text").over(window)).withColumn("entries", entries(F.col("text"), k, width))
     rows = rows.withColumn("hashes", hashes(F.col("entries"))).withColumn("next_hashes", F.lead("hashes").over(window)).where("_own")
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("next_text", F.lit(1), quarter)))
     rows = rows.withColumn("edited_entries", entries(F.col("edited"), k, width))
-    return rows.select(F.col("key").alias(key_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "entries", "edited_entries", likeness(F.col("hashes"), hashes(F.col("edited_entries"))).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"))
+    rows = rows.withColumn("edited_hashes", hashes(F.col("edited_entries")))
+    return rows.select(F.col("key").alias(key_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "entries", "edited_entries", likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"))
