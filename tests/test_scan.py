@@ -48,6 +48,9 @@ def test_every_scorer(data, scorer, backend):
 
     want = brute(scorer.scores(sides(q), sides(x), 61), 12)
     assert hits(scorer.top_k(corpus, queries, 12, backend=backend)) == want
+    assert hits(scorer.top_k(corpus.prepared(), queries.prepared(), 12, backend=backend)) == want
+    pool = corpus.df.crossJoin(queries.df.select(F.col("id").alias("qid"))).select("qid", "id")
+    assert hits(scorer.rerank(corpus, queries, pool, 12)) == want
 
 
 @pytest.mark.parametrize("backend", BACKENDS)
@@ -96,6 +99,8 @@ def test_filters(spark, data, backend):
     scores = arrays.dot_f32(q, x)
     want = [(a, i, s, r) for a in range(5) for r, (i, s) in enumerate(sorted(((i, float(scores[a, i])) for i in ids), key=lambda t: (-t[1], t[0]))[:20], 1)]
     assert hits(Scorer.F32.top_k(corpus, queries, 20, IdFilter.from_ids(ids + ids, spark, universe=200), backend=backend)) == want
+    grown = IdFilter.from_ids(ids[1:], spark, universe=200).with_ids(ids[:2], spark)
+    assert hits(Scorer.F32.top_k(corpus, queries, 20, grown, backend=backend)) == want
     assert hits(Scorer.F32.top_k(corpus, queries, 20, IdFilter.where(F.col("id").isin(ids)), backend=backend)) == want
 
 

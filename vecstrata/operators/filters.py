@@ -59,6 +59,11 @@ class IdFilter:
 
         return cls(predicate=keep(F.col("id")), universe=universe)
 
+    def with_ids(self, ids: Iterable[int], spark: SparkSession) -> IdFilter:
+        """This filter of ids with more ids set."""
+        more = IdFilter.from_ids(ids, spark, self.universe).ids
+        return IdFilter(self.predicate, more if self.ids is None else self.ids.union(more).distinct(), self.universe)
+
     def apply(self, corpus: Corpus) -> Corpus:
         """The corpus's rows that pass."""
         if self.universe is not None and (rows := corpus.count()) != self.universe:

@@ -90,8 +90,8 @@ class Scorer(Enum):
             raise QueryDimError(queries.dim, corpus.dim)
         if filter is not None:
             corpus = filter.apply(corpus)
-        corpus, queries = self.encoded(corpus, self.row_columns), self.encoded(queries, self.query_columns)
         if _backend(backend, queries) == "catalyst":
+            corpus, queries = self.encoded(corpus, self.row_columns), self.encoded(queries, self.query_columns)
             return ranked(self._pairs(corpus, queries), k, strict_order)
         return ranked(self._scanned(corpus, queries, k, strict_order), k, strict_order)
 
@@ -112,29 +112,35 @@ class Scorer(Enum):
         return ranked(self.pool_scores(corpus, queries, pairs), k, strict_order)
 
     def pool_scores(self, corpus: Corpus, queries: QuerySet, pool: DataFrame) -> DataFrame:
-        """pool (qid, id and others) with the score of each of its rows."""
-        corpus, queries = self.encoded(corpus, self.row_columns), self.encoded(queries, self.query_columns)
-        c, q = self._structs(corpus, queries)
-        return pool.join(c, "id").join(q, "qid").select(*pool.columns, self.column().alias("score"))
+        """pool (qid, id and others) with the score of each of its rows.
+
+        What a stored corpus lacks is encoded after the join, for the pool's rows only.
+        """
+        need = _stored(corpus, self.row_columns)
+        rows = pool.join(corpus.df.select("id", *need), "id")
+        rows = self.encoded(Corpus(rows, corpus.dim), self.row_columns).df
+        c, q = self._structs(Corpus(rows, corpus.dim), self.encoded(queries, self.query_columns), pool.columns)
+        return c.join(q, "qid").select(*pool.columns, self.column().alias("score"))
+
+    def _structs(self, corpus: Corpus, queries: QuerySet, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Rows with `keep` (id) and a struct c, queries with qid and a struct q."""
 
-    def _structs(self, corpus: Corpus, queries: QuerySet) -> tuple[DataFrame, DataFrame]:
-        def side(v, names: list[str], key: str, alias: str) -> DataFrame:
-            names = ["bit_bytes" if n == "bits" else n for n in names]
-            return v.df.select(F.col("id").alias(key), F.struct(*names).alias(alias))
+        def side(names: list[str]):
+            return F.struct(*("bit_bytes" if n == "bits" else n for n in names))
 
-        return side(corpus, self.row_columns, "id", "c"), side(queries, self.query_columns, "qid", "q")
+        return corpus.df.select(*(keep or ["id"]), side(self.row_columns).alias("c")), queries.df.select(F.col("id").alias("qid"), side(self.query_columns).alias("q"))
 
     def _pairs(self, corpus: Corpus, queries: QuerySet) -> DataFrame:
         c, q = self._structs(corpus, queries)
         return c.crossJoin(q).select("qid", "id", self.column().alias("score"))
 
     def _scanned(self, corpus: Corpus, queries: QuerySet, k: int, strict: bool) -> DataFrame:
-        scorer, dim, n_bytes = self, corpus.dim, kernels.binary_code_len(corpus.dim)
-        names = ["id", *self.row_columns]
+        scorer, dim = self, corpus.dim
+        names = _stored(corpus, self.row_columns, arrow=True)
         if k <= 0:
             return corpus.df.sparkSession.createDataFrame([], "qid long, id long, score float")
-        table = queries.df.select("id", *self.query_columns).toArrow()
-        qids, q = np.array(table.column("id").to_pylist(), np.int64), _columns(table.to_batches(), self.query_columns, dim, n_bytes)
+        table = queries.df.select("id", *_stored(queries, self.query_columns, arrow=True)).toArrow().combine_chunks()
+        qids, q = np.array(table.column("id").to_pylist(), np.int64), _sides(table, self.query_columns, dim)
         given = corpus.df.sparkSession.sparkContext.broadcast((qids, q))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +149,7 @@ class Scorer(Enum):
             step = max(1, CELLS // max(1, len(qids)))
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
-                rows = _columns([batch], names[1:], dim, n_bytes)
+                rows = _sides(batch, scorer.row_columns, dim)
                 for lo in range(0, len(ids), step):
                     found = scorer.scores(q, {c: v[lo : lo + step] for c, v in rows.items()}, dim)
                     for i, scores in enumerate(found):
@@ -152,7 +158,7 @@ class Scorer(Enum):
                 if len(ids):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), qid), pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float32(), from_pandas=False)], names=["qid", "id", "score"])
 
-        return corpus.df.select(*names).mapInArrow(scan, "qid long, id long, score float")
+        return corpus.df.select("id", *names).mapInArrow(scan, "qid long, id long, score float")
 
 
 def _backend(name: str | None, queries: QuerySet) -> str:
@@ -164,15 +170,34 @@ def _backend(name: str | None, queries: QuerySet) -> str:
     return "catalyst" if found == "arrow" and queries.df.select("id").limit(most + 1).count() > most else found
 
 
-def _columns(batches: list[pa.RecordBatch], names: list[str], dim: int, n_bytes: int) -> dict[str, np.ndarray]:
-    out = {}
-    for name in names:
-        parts = []
-        for b in batches:
-            column = b.column(b.schema.names.index(name))
-            parts.append(arrays.matrix(column, np.float32, dim) if name == "embedding" else arrays.matrix(column, np.int8, dim) if name == "codes" else arrays.bit_rows(column, n_bytes) if name == "bits" else column.to_numpy(zero_copy_only=False).astype(np.float32, copy=False))
-        empty = np.zeros((0, n_bytes if name == "bits" else dim), np.uint8 if name == "bits" else np.float32) if name != "scale" else np.zeros(0, np.float32)
-        out[name] = np.concatenate(parts) if parts else empty
+def _stored(vectors, wanted: list[str], arrow: bool = False) -> list[str]:
+    """The columns to read for a side: those wanted, or the floats that they are made from."""
+    names = []
+    for c in wanted:
+        stored = [c, *(["bit_bytes"] if c == "bits" and not arrow else [])]
+        made = c in vectors.df.columns and not (c == "scale" and "codes" not in vectors.df.columns)
+        names += stored if made else ["embedding"]
+    return list(dict.fromkeys(names))
+
+
+def _sides(batch: pa.RecordBatch | pa.Table, wanted: list[str], dim: int) -> dict[str, np.ndarray]:
+    """The wanted representations of a batch in numpy, made from its floats where they aren't stored."""
+
+    def column(name: str) -> pa.Array:
+        found = batch.column(name)
+        return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+
+    names, out = batch.schema.names, {}
+    x = arrays.matrix(column("embedding"), np.float32, dim) if "embedding" in names else None
+    for c in wanted:
+        if c == "embedding":
+            out[c] = x
+        elif c == "scale":
+            out[c] = column(c).to_numpy(zero_copy_only=False).astype(np.float32, copy=False) if c in names else arrays.max_abs_scale(x)
+        elif c == "bits":
+            out[c] = arrays.bit_rows(column(c), kernels.binary_code_len(dim)) if c in names else arrays.pack_sign_bits(x)
+        else:
+            out[c] = arrays.matrix(column(c), np.int8, dim) if c in names else arrays.quantize_i8(x, arrays.max_abs_scale(x))
     return out
 
 
