@@ -163,7 +163,7 @@ def test_language_scores_are_bounded_in_memory(monkeypatch):
 def pages(spark):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 10\r\n\r\n0123456789\r\n\r\n"
     big = "<html>" + "é" * 200
-    rows = [(5, "http://a/1", big), (3, "http://a/2", big), (9, "http://a/3", big), (1, "http://b", "short"), (2, "http://b", "short"), (4, None, None), (6, "u\r\nX: y", ""), (7, "http://m", fake * 3), (8, "http://m", "WARC/1.0\r\n" + fake + "x" * 300), (None, "http://n", big + "n"), (10, "http://e", "tail WARC/1."), (11, "http://c", "z" * 100_000 + fake + "WARC/1.1\r\n\r\n" * 50)]
+    rows = [(5, "http://a/1", big), (3, "http://a/2", big), (9, "http://a/3", big), (1, "http://b\u2028c\x85", "short"), (2, "http://b", "short"), (4, None, None), (6, "u\r\nX: y", ""), (7, "http://m", fake * 3), (8, "http://m", "WARC/1.0\r\n" + fake + "x" * 300), (None, "http://n", big + "n"), (10, "http://e", "tail WARC/1."), (11, "http://c", "z" * 100_000 + fake + "WARC/1.1\r\n\r\n" * 50)]
     rows += [rows[3], rows[1]]
     return rows, spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, size int").repartition(2)
 
@@ -189,7 +189,7 @@ def test_warc(spark, tmp_path, split):
     number = lambda s: s and (s[len("<urn:page:") : -1] or "None")
     found = [(number(r["record_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], number(r["refers_to"]), None if r["payload"] is None else bytes(r["payload"])) for r in got]
     assert sorted(map(repr, found)) == sorted(map(repr, want))
-    assert {r["url"] for r in got} == {"http://a/1", "http://a/2", "http://a/3", "http://b", None, "u%0D%0AX: y", "http://m", "http://n", "http://e", "http://c"}
+    assert {r["url"] for r in got} == {"http://a/1", "http://a/2", "http://a/3", "http://b", "http://b\u2028c\x85", None, "u%0D%0AX: y", "http://m", "http://n", "http://e", "http://c"}
 
 
 def test_warc_edges(spark, tmp_path):

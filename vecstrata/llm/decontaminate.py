@@ -126,7 +126,7 @@ def slices(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, part
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K, max_local_words: int = 20_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K, max_local_words: int = 2_000_000) -> DataFrame:
     """docs with the columns of RESULT added (columns of these names are replaced).
 
     n_words: words of the text; n_hit: those inside an occurrence of a window of
@@ -153,8 +153,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, text_col: str = "text",
                 new = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in listed]), pa.array(hit > 0)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, len(part)).columns, *new], names=[*names, *(c.split()[0] for c in RESULT.split(", "))])
 
-    schema = docs.schema.simpleString()[len("struct<") : -1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) if schema else ""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(judge, f"{schema}, {RESULT}")
 
 
@@ -162,8 +161,8 @@ def _joined(docs: DataFrame, items: DataFrame, text_col: str, window: int, k: in
     """As decontaminate, for benchmarks of any size: equal texts are judged once."""
     items = items.withColumn("_n", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))))
     short = [r["_n"] for r in items.where(f"_n between 1 and {window - 1}").select("_n").distinct().collect()]
-    texts = docs.select(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("_sha"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    distinct = texts.dropDuplicates(["_sha"])
+    texts = docs.select(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("_vs_sha"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    distinct = texts.dropDuplicates(["_vs_sha"])
 
     def kept(whole: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,11 +184,11 @@ def _joined(docs: DataFrame, items: DataFrame, text_col: str, window: int, k: in
 
         return run
 
-    mine = distinct.select(F.col("_sha").alias("key"), "text").mapInArrow(kept(False), "key string, h long, n int")
+    mine = distinct.select(F.col("_vs_sha").alias("key"), "text").mapInArrow(kept(False), "key string, h long, n int")
     numbered = items.select(F.sha2(F.concat_ws("\x00", "item_id", "text"), 256).alias("key"), "item_id", "text").dropDuplicates(["key"])
     theirs = numbered.select("key", "text").mapInArrow(kept(True), "key string, h long, n int").withColumnRenamed("key", "item")
     pairs = mine.join(theirs, ["h", "n"]).select("key", "item").distinct()
-    pairs = pairs.join(distinct.select(F.col("_sha").alias("key"), "text"), "key").join(numbered.select(F.col("key").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
+    pairs = pairs.join(distinct.select(F.col("_vs_sha").alias("key"), "text"), "key").join(numbered.select(F.col("key").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,9 +203,9 @@ def _joined(docs: DataFrame, items: DataFrame, text_col: str, window: int, k: in
     before = Window.partitionBy("key").orderBy("l", "r").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("r") - F.greatest("l", F.coalesce(F.max("r").over(before), F.col("l"))))
     found = runs.withColumn("new", fresh).groupBy("key").agg(F.sum("new").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("ids"))
-    counted = distinct.select(F.col("_sha").alias("key"), "text").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([b.column(0), pa.array([int(word_hashes([t.encode()])[1][-1]) for t in b.column(1).to_pylist()], pa.int64())], names=["key", "n_words"]) for b in bs), "key string, n_words long")
+    counted = distinct.select(F.col("_vs_sha").alias("key"), "text").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([b.column(0), pa.array([int(word_hashes([t.encode()])[1][-1]) for t in b.column(1).to_pylist()], pa.int64())], names=["key", "n_words"]) for b in bs), "key string, n_words long")
     judged = counted.join(found, "key", "left").select(
-        F.col("key").alias("_sha"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
+        F.col("key").alias("_vs_sha"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "ids"), F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
     judged = judged.withColumn("n_items", F.greatest("n_items", F.lit(0)))
-    return docs.withColumn("_sha", F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)).join(judged, "_sha").drop("_sha")
+    return docs.withColumn("_vs_sha", F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)).join(judged, "_vs_sha").drop("_vs_sha")

@@ -124,9 +124,9 @@ def scan(docs: DataFrame, *, text_col: str = "text", known: dict[str, list[str]]
     def matched(c: str) -> Column:
         return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
-    out = docs.withColumns({"sentence_ids": ids(False), "_joined": ids(True)})
-    both = F.concat(matched("sentence_ids"), matched("_joined"))
-    return out.withColumns({"licenses": F.array_join(F.array_sort(F.array_distinct(F.transform(both, lambda s: licence[s]))), ","), "n_rules": F.size(matched("sentence_ids")).cast("long")}).drop("_joined")
+    out = docs.withColumns({"sentence_ids": ids(False), "_vs_joined": ids(True)})
+    both = F.concat(matched("sentence_ids"), matched("_vs_joined"))
+    return out.withColumns({"licenses": F.array_join(F.array_sort(F.array_distinct(F.transform(both, lambda s: licence[s]))), ","), "n_rules": F.size(matched("sentence_ids")).cast("long")}).drop("_vs_joined")
 
 
 def oracle_sql() -> str:

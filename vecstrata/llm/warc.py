@@ -72,7 +72,7 @@ def _record(date: str) -> Column:
 
 
 def _field(name: str) -> Column:
-    found = F.regexp_extract("header", rf"(?im)^{name}:[ \t]*(.*?)[ \t]*$", 1)
+    found = F.regexp_extract("header", rf"(?imd)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1)
     return F.when(found != "", found)
 
 
@@ -90,7 +90,7 @@ def _parsed(lines: DataFrame, keep_payload: bool) -> DataFrame:
     out = out.withColumn("http_header", http_header)
     body = F.expr("if(http, substring(block, octet_length(http_header) + 5), block)")
     out = out.withColumn("payload", body)
-    told = F.regexp_extract("http_header", r"(?im)^Content-Length:[ \t]*(\d+)[ \t]*$", 1).try_cast("long")
+    told = F.regexp_extract("http_header", r"(?imd)^Content-Length:[ \t]*(\d+)[ \t]*\r?$", 1).try_cast("long")
     kind = F.lower(_field("WARC-Type"))
     again = kind == "revisit"
     return out.select(
