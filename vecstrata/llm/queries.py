@@ -92,9 +92,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
+#: Words as the operators take them: only A-Z are lower-cased.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
-    "op1_ngram_jaccard_join": r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+    "op1_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) g FROM w WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
@@ -108,6 +111,18 @@ SELECT d.doc_id, least(d.doc_id, coalesce(k.m, d.doc_id)) class_id, coalesce(e.e
 FROM documents d LEFT JOIN k ON k.a = d.doc_id LEFT JOIN c ON c.a = d.doc_id LEFT JOIN q ON q.doc_id = d.doc_id LEFT JOIN e ON e.h = q.h
 """,
     "op3_license_scan": licenses.oracle_sql(),
+    "op10_benchmark_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) item_id, {_WORDS} w FROM benchmark),
+bi AS (SELECT item_id, w, least(len(w), 10) n, unnest(range(greatest(len(w) - 9, 1))) i FROM b WHERE len(w) > 0),
+win AS (SELECT item_id, n, array_to_string(w[i + 1:i + n], ' ') g FROM bi),
+di AS (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) i FROM d CROSS JOIN (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+hit AS (SELECT doc_id, i, x.n, item_id FROM (SELECT doc_id, i, n, array_to_string(w[i + 1:i + n], ' ') g FROM di) x JOIN win ON x.n = win.n AND x.g = win.g),
+cover AS (SELECT doc_id, i + unnest(range(n)) spot FROM hit),
+c AS (SELECT doc_id, count(DISTINCT spot) n_hit FROM cover GROUP BY doc_id),
+k AS (SELECT doc_id, count(DISTINCT item_id) n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) ids FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+""",
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages),
      d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) payload_bytes, sha256(h) payload_digest FROM p),
