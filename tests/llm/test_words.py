@@ -178,3 +178,16 @@ def test_double_array():
 def test_decoding_of_special_ids(pieces, coder):
     at = pieces.pieces.index
     assert coder.decode(np.array([at("<s>"), at("▁the"), at("<unk>"), at("</s>")])) == "the ⁇ ".encode()
+
+
+def test_common_values_of_many_pairs():
+    from vecstrata.llm import ngram_join as n
+
+    r = np.random.default_rng(8)
+    pool = r.integers(0, 2**64, 300, dtype=np.uint64)
+    sets = {i: np.unique(r.choice(pool, r.integers(1, 200))) for i in (0, 2, 3, 7, 9)}
+    a, b = np.array([0, 0, 2, 3]), np.array([2, 9, 7, 9])
+    want = [n._both(sets[i], sets[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert want == [len(set(sets[i].tolist()) & set(sets[j].tolist())) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    for cells, at_once in ((1 << 22, 1 << 20), (50, 64), (7, 1000)):
+        assert n._dense(sets, np.array(sorted(sets)), a, b, cells, at_once).tolist() == want

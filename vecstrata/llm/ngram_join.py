@@ -184,20 +184,30 @@ def _both(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def _dense(sets: dict[int, np.ndarray], used: np.ndarray, a: np.ndarray, b: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
-    """Common values of many pairs, by products of 0/1 matrices over stretches of values."""
-    values, column, times = np.unique(np.concatenate([sets[i] for i in used.tolist()]), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used.tolist()])
-    shared = times > 1
-    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    total, step = np.zeros((len(used), len(used)), np.float32), max(1, cells // len(used))
-    for lo in range(0, int(shared.sum()), step):
-        part = slice(*np.searchsorted(column, [lo, lo + step]))
-        cell = np.zeros((len(used), step), np.float32)
-        cell[row[part], column[part] - lo] = 1
-        total += cell @ cell.T
+def _dense(sets: dict[int, np.ndarray], used: np.ndarray, a: np.ndarray, b: np.ndarray, cells: int = 1 << 22, at_once: int = 1 << 20) -> np.ndarray:
+    """Common values of many pairs, by products of 0/1 matrices over stretches of values.
+
+    The hashes are taken range by range, about `at_once` of them at a time.
+    """
+    listed = [sets[i] for i in used.tolist()]
+    total = np.zeros((len(used), len(used)), np.float32)
+    ranges = -(-sum(map(len, listed)) // at_once)
+    edges = np.array([(i << 64) // ranges for i in range(ranges)], U64)
+    cuts = [np.append(np.searchsorted(x, edges), len(x)) for x in listed]
+    step = max(1, cells // len(used))
+    for r in range(ranges):
+        parts = [x[c[r] : c[r + 1]] for x, c in zip(listed, cuts, strict=True)]
+        _, column, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(used)), list(map(len, parts)))
+        shared = times > 1
+        row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for lo in range(0, int(shared.sum()), step):
+            part = slice(*np.searchsorted(column, [lo, lo + step]))
+            cell = np.zeros((len(used), step), np.float32)
+            cell[row[part], column[part] - lo] = 1
+            total += cell @ cell.T
     at = np.searchsorted(used, np.stack([a, b]))
     return total[at[0], at[1]].astype(np.int64)
 
