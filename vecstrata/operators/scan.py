@@ -90,10 +90,11 @@ class Scorer(Enum):
             raise QueryDimError(queries.dim, corpus.dim)
         if filter is not None:
             corpus = filter.apply(corpus)
-        if _backend(backend, queries) == "catalyst":
+        asked = self._asked(queries, backend)
+        if asked is None:
             corpus, queries = self.encoded(corpus, self.row_columns), self.encoded(queries, self.query_columns)
             return ranked(self._pairs(corpus, queries), k, strict_order)
-        return ranked(self._scanned(corpus, queries, k, strict_order), k, strict_order)
+        return ranked(self._scanned(corpus, asked, k, strict_order), k, strict_order)
 
     def rerank(self, corpus: Corpus, queries: QuerySet, pool: DataFrame, k: int, *, strict: bool = False, strict_order: bool = False) -> DataFrame:
         """The k best of each query's pool (qid, id), by this scorer's own scores.
@@ -130,16 +131,25 @@ class Scorer(Enum):
 
         return corpus.df.select(*(keep or ["id"]), side(self.row_columns).alias("c")), queries.df.select(F.col("id").alias("qid"), side(self.query_columns).alias("q"))
 
+    def _asked(self, queries: QuerySet, backend: str | None) -> pa.Table | None:
+        """The queries, for the arrow backend; null for the other, and where they are beyond the bound."""
+        if backend is not None and kernels.by_name(backend) is None:
+            raise ValueError(f"backend must be one of {kernels.NAMES}, not {backend!r}")
+        if (backend or kernels.detected()) != "arrow":
+            return None
+        most = QUERY_BYTES // (queries.dim * 4)
+        table = queries.df.select("id", *_stored(queries, self.query_columns, arrow=True)).limit(most + 1).toArrow().combine_chunks()
+        return table if table.num_rows <= most else None
+
     def _pairs(self, corpus: Corpus, queries: QuerySet) -> DataFrame:
         c, q = self._structs(corpus, queries)
         return c.crossJoin(q).select("qid", "id", self.column().alias("score"))
 
-    def _scanned(self, corpus: Corpus, queries: QuerySet, k: int, strict: bool) -> DataFrame:
+    def _scanned(self, corpus: Corpus, table: pa.Table, k: int, strict: bool) -> DataFrame:
         scorer, dim = self, corpus.dim
         names = _stored(corpus, self.row_columns, arrow=True)
         if k <= 0:
             return corpus.df.sparkSession.createDataFrame([], "qid long, id long, score float")
-        table = queries.df.select("id", *_stored(queries, self.query_columns, arrow=True)).toArrow().combine_chunks()
         qids, q = np.array(table.column("id").to_pylist(), np.int64), _sides(table, self.query_columns, dim)
         given = corpus.df.sparkSession.sparkContext.broadcast((qids, q))
 
@@ -161,15 +171,6 @@ class Scorer(Enum):
         return corpus.df.select("id", *names).mapInArrow(scan, "qid long, id long, score float")
 
 
-def _backend(name: str | None, queries: QuerySet) -> str:
-    """The backend to use: queries beyond the bound are joined, whatever the name."""
-    if name is not None and kernels.by_name(name) is None:
-        raise ValueError(f"backend must be one of {kernels.NAMES}, not {name!r}")
-    found = name or kernels.detected()
-    most = QUERY_BYTES // (queries.dim * 4)
-    return "catalyst" if found == "arrow" and queries.df.select("id").limit(most + 1).count() > most else found
-
-
 def _stored(vectors, wanted: list[str], arrow: bool = False) -> list[str]:
     """The columns to read for a side: those wanted, or the floats that they are made from."""
     names = []

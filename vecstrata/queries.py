@@ -22,13 +22,17 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus.from_dataframe(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", keep=("label",), validate=False)
 
 
-def query_set(spark: SparkSession, sf_dir: str) -> QuerySet:
+def query_set(spark: SparkSession, sf_dir: str, dim: int | None = None) -> QuerySet:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(f"vec_id < {QUERIES_BELOW}")
-    return QuerySet.from_dataframe(rows, "vec_id", "embedding", validate=False)
+    return QuerySet.from_dataframe(rows, "vec_id", "embedding", dim, validate=False)
 
 
 def _scan(scorer: Scorer, filter: Callable[[SparkSession], IdFilter] | None = None, k: int = K) -> Query:
-    return lambda s, d: scorer.top_k(corpus(s, d), query_set(s, d), k, filter and filter(s))
+    def run(s: SparkSession, d: str) -> DataFrame:
+        c = corpus(s, d)
+        return scorer.top_k(c, query_set(s, d, c.dim), k, filter and filter(s))
+
+    return run
 
 
 def _bin_topk(s: SparkSession, d: str) -> DataFrame:
@@ -95,7 +99,11 @@ def _rerank(s: SparkSession, d: str) -> DataFrame:
 
 
 def _two_stage(coarse: Scorer, precise: Scorer, factor: int) -> Query:
-    return lambda s, d: two_stage(corpus(s, d), query_set(s, d), coarse, precise, factor * K, K)
+    def run(s: SparkSession, d: str) -> DataFrame:
+        c = corpus(s, d)
+        return two_stage(c, query_set(s, d, c.dim), coarse, precise, factor * K, K)
+
+    return run
 
 
 def _prefix_property(s: SparkSession, d: str) -> DataFrame:
