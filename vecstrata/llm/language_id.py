@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS, MAX_N = 3000, 20_000, 20_000, 4
 #: Words whose scores a worker remembers; bounds its memory.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _WORDS = re.compile(r"[^\W\d_]+")
 _LETTERS = r"[\p{L}]+"
 

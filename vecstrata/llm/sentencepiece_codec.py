@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .unigram import LITERAL, MARK, Pieces, segments
 
 #: Pre-tokens that a worker remembers, and the longest of these in characters.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 200_000, 48
 ENCODED = "n_ids long, n_fallback long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
 
 
