@@ -200,6 +200,25 @@ def test_warc_edges(spark, tmp_path):
     assert warc.read_warc(spark, f"{tmp_path}/junk").count() == 0
 
 
+def test_warc_long_headers(spark, tmp_path):
+    urls = ["http://a", "data:text/html," + "x" * 70_000, "http://b", "http://c/" + " " * 200_000 + "y", "http://d", None]
+    rows = [(i, u, f"page {i}") for i, u in enumerate(urls)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/w")
+    got = warc.read_warc(spark, f"{tmp_path}/w", keep_payload=True).collect()
+    assert sorted((r["record_id"], r["url"], bytes(r["payload"]).decode()) for r in got) == [(f"<urn:page:{i}>", u, t) for i, u, t in rows]
+
+
+@pytest.mark.parametrize("broken", [0, 1])
+def test_warc_broken_chain(spark, tmp_path, broken):
+    parts = [f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\nContent-Length: 2\r\n\r\nok\r\n\r\n" for i in range(3)]
+    (tmp_path / "good").write_text("".join(parts), newline="")
+    assert warc.read_warc(spark, f"{tmp_path}/good").count() == 3
+    parts[broken] = parts[broken].replace("Content-Length", "Content-Size")
+    (tmp_path / "bad").write_text("".join(parts), newline="")
+    with pytest.raises(ValueError, match=f"no record begins at {len(parts[0]) * broken} of "):
+        warc.read_warc(spark, f"{tmp_path}/bad").count()
+
+
 def test_packed_ids(spark, docs, rows, tmp_path):
     with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
         made = f.read()

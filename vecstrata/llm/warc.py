@@ -32,8 +32,6 @@ END = "\r\n"
 LEAST_REVISIT = 100
 #: Groups of equal payloads up to which their list is sent to all tasks (about 100 bytes each).
 BROADCAST_GROUPS = 200_000
-#: Longest header of a record.
-HEADER_BYTES = 1 << 16
 
 
 def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = LEAST_REVISIT, date: str = "2000-01-01T00:00:00Z", broadcast_groups: int = BROADCAST_GROUPS) -> None:
@@ -72,7 +70,8 @@ def _record(date: str) -> Column:
 
 
 def _field(name: str) -> Column:
-    found = F.regexp_extract("header", rf"(?imd)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1)
+    line = F.regexp_replace(F.regexp_extract("header", rf"(?imd)^{name}:(.*)$", 1), r"\r\z", "")
+    found = F.trim(line, F.lit(" \t"))  # not by the pattern, whose time would grow with the square of a run of spaces
     return F.when(found != "", found)
 
 
@@ -80,7 +79,7 @@ def _parsed(lines: DataFrame, keep_payload: bool) -> DataFrame:
     """Header fields and payload of each text that follows magic; `size` is null where there is no header."""
     break_at = F.substring_index("value", END + END, 1)
     out = lines.withColumn("length", F.octet_length("value").cast("long")).withColumn("header", F.when(F.col("value").rlike(r"\A[01]\r\n"), break_at))
-    out = out.withColumn("header", F.when((F.octet_length("header") <= HEADER_BYTES) & (F.octet_length("header") < F.col("length")), F.col("header")))
+    out = out.withColumn("header", F.when(F.octet_length("header") < F.col("length"), F.col("header")))
     out = out.withColumn("size", _field("Content-Length").try_cast("long")).withColumn("begin", F.octet_length("header") + F.lit(5))
     out = out.withColumn("span", F.col("begin") - 1 + F.col("size")).withColumn("whole", F.col("span") <= F.col("length"))
     out = out.withColumn("http", _field("Content-Type").startswith("application/http"))
@@ -124,6 +123,7 @@ def read_warc(spark: SparkSession, path: str, *, keep_payload: bool = False) ->
     found = written(found.drop("gap"), "warc-candidates")
     entered = _entered(found)
     true = found.join(entered, ["file", "run"]).where("offset >= entry").drop("run", "entry", "split", "at")
+    _check_ends(cuts, true)
 
     parts = true.where(~F.col("whole")).select("file", "offset", "next")
     if not parts.isEmpty():
@@ -134,6 +134,15 @@ def read_warc(spark: SparkSession, path: str, *, keep_payload: bool = False) ->
     return true
 
 
+def _check_ends(cuts: DataFrame, true: DataFrame) -> None:
+    """An error if the records of a file that begins with magic end before the file does."""
+    files = cuts.groupBy("file").agg(F.max(F.col("offset") + len(MAGIC) + F.col("length")).alias("end"), F.max((F.col("offset") == 0).cast("int")).alias("begins"))
+    last = true.groupBy("file").agg(F.max("next").alias("reached"))
+    short = files.where("begins = 1").join(last, "file", "left").withColumn("reached", F.coalesce("reached", F.lit(0))).where("reached < end")
+    for r in short.orderBy("file").take(1):
+        raise ValueError(f"no record begins at {r['reached']} of {r['file']}, which has {r['end']} bytes")
+
+
 def _entered(found: DataFrame) -> DataFrame:
     """file, run, entry: the runs reached from each file's start and where they are entered."""
     exits = found.groupBy("file", "run").agg(F.max("next").alias("exit"))
