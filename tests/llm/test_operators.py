@@ -219,6 +219,32 @@ def test_warc_broken_chain(spark, tmp_path, broken):
         warc.read_warc(spark, f"{tmp_path}/bad").count()
 
 
+def test_warc_magic_in_written_fields(spark, tmp_path):
+    fields = [("a", "http://a/WARC/1.1"), ("WARC/1.0\r\n", "WARC/1.WARC/1."), ("c", "http://c"), ("d", "http://d/WARC/1.1\r\n\r\nWARC/1.0\r\n"), ("e", "http://e")]
+    same = "same text " * 20
+    escaped = lambda s: s.replace("\r", "%0D").replace("\n", "%0A").replace("WARC/1.", "%57ARC/1.")
+    warc.write_warc(spark.createDataFrame([(i, u, same) for i, u in fields], "page_id string, url string, html string").coalesce(1), f"{tmp_path}/w")
+    got = warc.read_warc(spark, f"{tmp_path}/w").collect()
+    first = f"<urn:page:{escaped(fields[1][0])}>"
+    assert sorted((r["record_id"], r["url"], r["refers_to"] or first) for r in got) == sorted((f"<urn:page:{escaped(i)}>", escaped(u), first) for i, u in fields)
+
+
+@pytest.mark.parametrize("split", ["128m", "100"])
+def test_warc_magic_in_read_fields(spark, tmp_path, split):
+    urls = ["http://a", "http://b/WARC/1.1", "WARC/1.WARC/1.1", "http://c/WARC/1.1/WARC/1.0/x", "http://d", "WARC/1.Content-Length: 3", "Content-Length: 3WARC/1.", "http://e"] + ["http://f/WARC/1.1"] * 20 + ["http://g"]
+    payloads = ["text", "", "WARC/1.1\r\nContent-Length: 1", "WARC/1.1\r\nWARC/1.0\r\nx", "\r\n\r\n"]
+    want = [(f"<{i}>", u, payloads[i % 5]) for i, u in enumerate(urls)]
+    parts = [f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: {u}\r\nWARC-Record-ID: {i}\r\nContent-Length: {len(t)}\r\nX: WARC/1.1\r\nY: y\r\n\r\n{t}\r\n\r\n" for i, u, t in want]
+    (tmp_path / "w").write_text("".join(parts), newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        got = warc.read_warc(spark, f"{tmp_path}/w", keep_payload=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["record_id"], r["url"], bytes(r["payload"]).decode()) for r in got) == sorted(want)
+
+
 def test_packed_ids(spark, docs, rows, tmp_path):
     with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
         made = f.read()

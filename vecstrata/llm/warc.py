@@ -12,7 +12,8 @@ a candidate record; its header gives the offset of its successor. Candidates
 that follow each other without a gap form a run; pointer jumping from the
 file's start over the runs' exits keeps the reachable records, so magic inside a
 payload is no record. Payloads that hold magic span several cuts and are put
-together again. Payloads don't move between tasks unless they are asked for.
+together again, and so are headers with magic in their fields, which archives
+written here don't have: it is escaped, as line ends are. Payloads don't move between tasks unless they are asked for.
 
 Defined results: a null payload is empty; rows that repeat the smallest id of
 equal payloads are all responses; a page with a null id is a response, and its
@@ -48,10 +49,16 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
 def _record(date: str) -> Column:
     again = F.coalesce(F.col("first") != F.col("id"), F.lit(False))
 
+    def safe(c: str) -> Column:
+        """A field's value without line ends and magic."""
+        value = F.col(c).cast("string")
+        for raw, escaped in (("\r", "%0D"), ("\n", "%0A"), (MAGIC, f"%{ord(MAGIC[0]):X}{MAGIC[1:]}")):
+            value = F.replace(value, F.lit(raw), F.lit(escaped))
+        return value
+
     def name(c: str) -> Column:
-        return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+        return F.concat(F.lit("<urn:page:"), F.coalesce(safe(c), F.lit("")), F.lit(">"))
 
-    safe = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("size").cast("string"), F.lit(END + END))
     block = F.when(again, http).otherwise(F.concat(http, "payload"))
     lines = [
@@ -59,7 +66,7 @@ def _record(date: str) -> Column:
         F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: "), name("id")),
         F.lit(f"WARC-Date: {date}"),
-        F.concat(F.lit("WARC-Target-URI: "), safe),  # null, and so left out, where there is no URL
+        F.concat(F.lit("WARC-Target-URI: "), safe("url")),  # null, and so left out, where there is no URL
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
         F.when(again, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.when(again, F.concat(F.lit("WARC-Refers-To: "), name("first"))),
@@ -76,10 +83,17 @@ def _field(name: str) -> Column:
 
 
 def _parsed(lines: DataFrame, keep_payload: bool) -> DataFrame:
-    """Header fields and payload of each text that follows magic; `size` is null where there is no header."""
-    break_at = F.substring_index("value", END + END, 1)
-    out = lines.withColumn("length", F.octet_length("value").cast("long")).withColumn("header", F.when(F.col("value").rlike(r"\A[01]\r\n"), break_at))
-    out = out.withColumn("header", F.when(F.octet_length("header") < F.col("length"), F.col("header")))
+    """Header fields and payload of each text that follows magic; `size` is null where there is no header.
+
+    For headers with magic in them: `begins` where a header may begin, `stop` the bytes before the
+    first empty line, if there is one, and `told` the length that a line before it gives.
+    """
+    before = F.substring_index("value", END + END, 1)
+    out = lines.withColumn("length", F.octet_length("value").cast("long")).withColumn("begins", F.col("value").rlike(r"\A[01]\r\n"))
+    out = out.withColumn("stop", F.octet_length(before).cast("long")).withColumn("stop", F.when(F.col("stop") < F.col("length"), F.col("stop")))
+    out = out.withColumn("header", F.when(F.col("begins") & F.col("stop").isNotNull(), before))
+    full_lines = F.when(F.col("stop").isNotNull(), F.concat(before, F.lit(END))).otherwise(F.col("value"))
+    out = out.withColumn("told", F.regexp_extract(full_lines, r"(?id)\nContent-Length:[ \t]*(\d+)[ \t]*\r?\n", 1).try_cast("long"))
     out = out.withColumn("size", _field("Content-Length").try_cast("long")).withColumn("begin", F.octet_length("header") + F.lit(5))
     out = out.withColumn("span", F.col("begin") - 1 + F.col("size")).withColumn("whole", F.col("span") <= F.col("length"))
     out = out.withColumn("http", _field("Content-Type").startswith("application/http"))
@@ -93,7 +107,7 @@ def _parsed(lines: DataFrame, keep_payload: bool) -> DataFrame:
     kind = F.lower(_field("WARC-Type"))
     again = kind == "revisit"
     return out.select(
-        *[c for c in lines.columns if c != "value"], "length", "size", "span", "whole",
+        *[c for c in lines.columns if c != "value"], "length", "size", "span", "whole", "begins", "stop", "told",
         kind.alias("record_type"), _field("WARC-Record-ID").alias("record_id"), _field("WARC-Target-URI").alias("url"), _field("WARC-Refers-To").alias("refers_to"),
         F.when(again, told).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
         F.when(again, F.regexp_extract(_field("WARC-Payload-Digest"), r"^sha256:(.*)$", 1)).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
@@ -114,7 +128,7 @@ def read_warc(spark: SparkSession, path: str, *, keep_payload: bool = False) ->
     in_file = Window.partitionBy("file").orderBy("split", "at")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     cuts = _parsed(lines, False).withColumn("offset", F.sum(F.col("length") + len(MAGIC)).over(before) - len(MAGIC))
-    cuts = cuts.withColumn("next", F.col("offset") + len(MAGIC) + F.col("span") + len(END + END))
+    cuts = _long_headers(cuts).withColumn("next", F.col("offset") + len(MAGIC) + F.col("span") + len(END + END))
     cuts = written(cuts, "warc-cuts")  # headers and offsets, no payloads
 
     of_file = Window.partitionBy("file").orderBy("offset")
@@ -127,13 +141,25 @@ def read_warc(spark: SparkSession, path: str, *, keep_payload: bool = False) ->
 
     parts = true.where(~F.col("whole")).select("file", "offset", "next")
     if not parts.isEmpty():
-        true = true.where("whole").drop("length", "size", "span", "whole", "next").unionByName(_together(lines, cuts, true, parts).select("file", "offset", *FIELDS))
+        true = true.where("whole").select("file", "offset", *FIELDS).unionByName(_together(lines, cuts, true, parts).select("file", "offset", *FIELDS))
     true = true.select("file", "offset", *FIELDS)
     if keep_payload:
         true = true.join(_payloads(lines, cuts, true, parts), ["file", "offset"], "left")
     return true
 
 
+def _long_headers(cuts: DataFrame) -> DataFrame:
+    """cuts, with size and span also where the header goes on in the next cuts, up to an empty line."""
+    onward = Window.partitionBy("file").orderBy(F.desc("split"), F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.last(F.when(F.col("stop").isNotNull(), F.col("offset") + len(MAGIC) + F.col("stop")), ignorenulls=True).over(onward)
+    told = F.last(F.when(F.col("told").isNotNull() | F.col("stop").isNotNull(), F.struct("told")), ignorenulls=True).over(onward)["told"]
+    cuts = cuts.withColumn("_stop", stop).withColumn("_told", told)
+    open_end = F.col("begins") & F.col("stop").isNull()
+    span = F.col("_stop") - F.col("offset") - len(MAGIC) + len(END + END) + F.col("_told")
+    cuts = cuts.withColumn("size", F.when(open_end, F.col("_told")).otherwise(F.col("size"))).withColumn("span", F.when(open_end, span).otherwise(F.col("span")))
+    return cuts.withColumn("whole", F.col("span") <= F.col("length")).drop("begins", "stop", "told", "_stop", "_told")
+
+
 def _check_ends(cuts: DataFrame, true: DataFrame) -> None:
     """An error if the records of a file that begins with magic end before the file does."""
     files = cuts.groupBy("file").agg(F.max(F.col("offset") + len(MAGIC) + F.col("length")).alias("end"), F.max((F.col("offset") == 0).cast("int")).alias("begins"))
