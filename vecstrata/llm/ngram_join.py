@@ -1,13 +1,14 @@
-"""N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard self-join with MinHash LSH banding and exact verification.
 
 A text's set holds the hashes of its runs of five words (one run of all words if
 there are fewer). Texts with equal sets form one node with its number of
-copies. The forest has `trees` tries; a node's path in each is a sequence of
-MinHash values, and two nodes of similarity s share the first p values with
-probability s**p. Matched prefixes are shortened from `depth` on until
-1 - (1 - s**p)**trees reaches the target recall at the threshold; then the nodes
-under one prefix of that length are candidates for each other. Groups with the
-same members as one in an earlier tree are left out.
+copies. Each of `trees` bands ("trees") has p MinHash values, folded into one
+hash; two nodes of similarity s share it with probability s**p. One p is fixed for
+all beforehand: the longest, up to `depth`, for which 1 - (1 - s**p)**trees
+reaches the target recall at the threshold (4 by default). Nodes of equal hashes
+are candidates for each other. This stands in for an LSH forest: there are no
+tries and nothing is shortened by what matched (README.md says why). Groups with
+the same members as one in an earlier tree are left out.
 
 Candidates are verified where they meet, and no pair becomes a row. A task gets
 the sets of a group, or of two blocks of a large group, settles the pairs that
