@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from vecstrata.llm import decontaminate as dec
 from vecstrata.llm import fingerprints, language_id, licenses, ngram_join, packed_ids, sharding, token_counts, unigram, warc
@@ -248,9 +249,13 @@ def test_warc_magic_in_read_fields(spark, tmp_path, split):
 def test_packed_ids(spark, docs, rows, tmp_path):
     with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
         made = f.read()
+    marked = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|> b\n<|endoftext|>", "<|endoftext", "plain <|endoftext|>" + " more words" * 50]
+    rows = rows + [(1000 + i, t, None) for i, t in enumerate(marked)]
+    docs = docs.select("doc_id", "text", "key").union(spark.createDataFrame([(i, t, "k") for i, t, _ in rows[-len(marked) :]], "doc_id long, text string, key string"))
     manifest = packed_ids.write_ids(docs, f"file://{tmp_path}/ids", made, files=3)
     got = packed_ids.read_ids(spark, manifest).orderBy("start").collect()
-    encode = packed_ids.Encoder(made).whole.encode
+    encode = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")).encode  # untouched, as the library gives it
+    assert encode(marked[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
     want = collections.Counter()
     for i, t, _ in rows:
         ids = [*encode(t or "", add_special_tokens=False).ids, 2]
@@ -261,6 +266,8 @@ def test_packed_ids(spark, docs, rows, tmp_path):
     keys = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
     assert keys == sorted(keys)
     assert packed_ids.read_ids(spark, packed_ids.write_ids(docs.where("false"), f"file://{tmp_path}/none", made)).count() == 0
+    with pytest.raises(ValueError, match="integers"):
+        packed_ids.write_ids(docs, f"file://{tmp_path}/bad", made, key_col="key")
 
 
 def winnowed(text):

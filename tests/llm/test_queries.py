@@ -4,7 +4,9 @@ import collections
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from vecstrata.llm import queries as Q
 
@@ -35,6 +37,17 @@ def test_all_queries_cover_the_table(spark, tables):
         assert got.select("doc_id").distinct().count() == n == got.count()
 
 
+def test_packed_ids_of_the_whole_table(spark, tables):
+    encode = Tokenizer.from_file(Q.tokenizer_path("byte_bpe_50k.json")).encode
+    want, start = [], 0
+    for r in spark.read.parquet(f"{tables}/documents.parquet").orderBy("doc_id").collect():
+        ids = [*encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        want.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = Q.op7_packed_token_ids(spark, tables).orderBy("doc_id")
+    assert [tuple(r) for r in got.select("doc_id", "start", "n_tokens", "ids_crc32").collect()] == want
+
+
 def test_pipeline(spark, tables):
     import corpus_pipeline as P
 

@@ -16,9 +16,13 @@ Files are written under a name of the attempt and then moved, so repeated,
 speculative or lost tasks leave one whole file; their content depends on the
 rows alone. `start` of a document counts all ids of earlier files too.
 
+Ids are the library's own for the whole text: strings of added tokens, such as an
+end mark that stands in a text, get their ids too.
+
 Defined results: a null text has no ids but the end id; a null key sorts first;
-rows with equal keys follow each other in order of a hash of their text; an
-empty table gives no files and no rows. Columns besides key and text are not read.
+rows with equal keys follow each other in order of a hash of their text; keys that
+are no integers are an error; an empty table gives no files and no rows. Columns
+besides key and text are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +39,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 U64 = np.uint64
 MAGIC = b"VSPACK01"
 BLOCK_IDS = 1 << 16
+#: Bytes of text that a file holds about; the number of files grows with the input.
+FILE_TEXT_BYTES = 256 << 20
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -87,12 +95,14 @@ class Writer:
         self.out = self.fs.open_output_stream(self.temporary)
         self.out.write(MAGIC)
         self.vocabulary, self.width, self.block_ids = vocabulary, width_of(vocabulary), block_ids
-        self.offsets, self.keys, self.bounds, self.waiting, self.held = [len(MAGIC)], [], [0], [], 0
+        self.offsets, self.keys, self.null, self.bounds = array("q", [len(MAGIC)]), array("q"), array("q"), array("q", [0])
+        self.waiting, self.held = [], 0
 
     def add(self, key: int | None, ids: np.ndarray) -> None:
         if len(ids) and int(ids.max()) >= self.vocabulary:
             raise ValueError(f"id {ids.max()} is not below {self.vocabulary}")
-        self.keys.append(key)
+        self.keys.append(key or 0)
+        self.null.append(key is None)
         self.bounds.append(self.bounds[-1] + len(ids))
         self.waiting.append(ids)
         self.held += len(ids)
@@ -109,8 +119,9 @@ class Writer:
 
     def close(self) -> tuple[int, int]:
         self._flush(self.held)
-        index = [self.width, self.block_ids, len(self.keys), self.bounds[-1], len(self.offsets) - 1, *self.offsets, *(k or 0 for k in self.keys), *(int(k is None) for k in self.keys), *self.bounds]
-        self.out.write(np.array(index, "<i8").tobytes() + struct.pack("<Q", self.offsets[-1]) + MAGIC)
+        for part in ([self.width, self.block_ids, len(self.keys), self.bounds[-1], len(self.offsets) - 1], self.offsets, self.keys, self.null, self.bounds):
+            self.out.write(np.array(part, "<i8").tobytes())
+        self.out.write(struct.pack("<Q", self.offsets[-1]) + MAGIC)
         self.out.close()
         self.fs.move(self.temporary, self.path)
         return len(self.keys), self.bounds[-1]
@@ -159,8 +170,8 @@ class Encoder:
     two other non-space characters always begins one, so a text is cut there and
     each piece looked up. What has not been seen is encoded by the library; for
     plain words its model is called without the rest of its machinery. Texts
-    with other white space around a space, and tokenizers of another
-    make, go through the library whole.
+    with other white space around a space or with the string of an added token,
+    and tokenizers of another make, go through the library whole.
     """
 
     #: Pieces remembered by a worker; bounds its memory.
@@ -174,10 +185,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(tokenizer_json)
-        self.whole.encode_special_tokens = True
         made = json.loads(tokenizer_json)
         pre = made.get("pre_tokenizer") or {}
-        self.cuts = made["model"]["type"] == "BPE" and not made.get("normalizer") and not made["model"].get("dropout") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and all(t.get("special") and " " not in t["content"] for t in made.get("added_tokens") or ())
+        self.cuts = made["model"]["type"] == "BPE" and not made.get("normalizer") and not made["model"].get("dropout") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        added = [re.escape(t["content"]) for t in made.get("added_tokens") or () if t["content"]]
+        self.added = re.compile("|".join(added)) if added else None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -223,7 +235,7 @@ class Encoder:
         """Ids of the text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if not self.cuts or self._ODD.search(text):
+        if not self.cuts or self._ODD.search(text) or (self.added and self.added.search(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         pieces = text.split(" ")
         known, get = self.later, self._get
@@ -246,15 +258,22 @@ def encoder(tokenizer_json: str) -> Encoder:
 def write_ids(docs: DataFrame, path: str, tokenizer_json: str, *, key_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, vocabulary: int | None = None, files: int | None = None) -> list[dict]:
     """Encodes whole texts and writes their ids in ascending key order below path.
 
-    Returns the manifest, a dict(file, docs, ids, start) for each file in order.
+    There are `files` files, or as many as keep each at about FILE_TEXT_BYTES of text
+    (spark.sql.shuffle.partitions at least). Returns the manifest, a dict(file, docs,
+    ids, start) for each file in order.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[key_col].dataType, IntegralType):
+        raise ValueError(f"{key_col} must hold integers")
     given = spark.sparkContext.broadcast(tokenizer_json)
     if vocabulary is None:
         from tokenizers import Tokenizer
 
         vocabulary = Tokenizer.from_str(tokenizer_json).get_vocab_size()
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files
+    if n is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(docs[text_col])), F.lit(0)).alias("b")).first()["b"]
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_TEXT_BYTES))
     rows = docs.select(docs[key_col].cast("long").alias("key"), docs[text_col].alias("text"))
     rows = rows.repartitionByRange(n, "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
     end = b"" if end_id is None else struct.pack("<I", end_id)
