@@ -1,4 +1,4 @@
-"""Kernels and quantizers: known answers, and Column expressions against numpy."""
+"""Kernels and quantizers: known answers (fixed values), and Column expressions against numpy."""
 
 import numpy as np
 import pytest

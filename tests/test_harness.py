@@ -1,5 +1,6 @@
 """Parity, recall, sources, sinks and the command line."""
 
+import glob
 import io
 
 import numpy as np
@@ -109,16 +110,27 @@ def test_truth_cache(spark, tmp_path):
     assert path.endswith(".s0.1000")
     assert [sinks.load_or_compute_truth(spark, p, params, compute)[1] for p, params in ((path, {"a": 1}), (path, {"a": 1}), (path, {"a": 2}), (None, {"a": 1}))] == [False, True, False, False]
     assert len(calls) == 3
+    for part in glob.glob(f"{path}/*/rows/*.parquet"):  # damage behind a readable footer is a miss
+        with open(part, "r+b") as f:
+            f.seek(4)
+            f.write(b"\xff" * 30)
+    spark.catalog.clearCache()
+    with pytest.warns(UserWarning, match="no ground truth"):
+        assert not sinks.load_or_compute_truth(spark, path, {"a": 1}, compute)[1]
+    (tmp_path / "file").write_text("")
+    with pytest.warns(UserWarning, match="isn't kept"):
+        found, cached = sinks.load_or_compute_truth(spark, f"{tmp_path}/file/gt", {}, compute)
+    assert not cached and found.count() == 1
 
 
 def test_cli(spark, tmp_path):
     p = cli.parser()
     assert (p.parse_args([]).k, p.parse_args([]).rerank, p.parse_args([]).dim) == ([10, 100], [2, 4, 8], 1024)
-    for wrong in (["--vectors", "x"], ["--k", "0"], ["--rerank", ""], ["--filter", "0"], ["--filter", "1.5"], ["--threads", "0"], ["--gmm-clusters", "0"], ["--n", "0"]):
-        assert cli.main(wrong) == 2
-    with pytest.raises(SystemExit) as e:
-        p.parse_args(["--dist", "zipf"])
-    assert e.value.code == 2
+    for wrong in (["--vectors", "x"], ["--k", "0"], ["--rerank", ""], ["--filter", "0"], ["--filter", "1.5"], ["--threads", "0"], ["--gmm-clusters", "0"], ["--n", "0"], ["--dist", "zipf"]):
+        with pytest.raises(SystemExit) as e:
+            cli.main(wrong)
+        assert e.value.code == 2
+    assert cli.session(3) is spark
     out = io.StringIO()
     cfg = p.parse_args(["--n", "120", "--dim", "16", "--queries", "4", "--gmm-clusters", "4", "--k", "3", "--rerank", "2", "--filter", "1.0,0.5", "--gt-cache", str(tmp_path / "gt"), "--csv", str(tmp_path / "csv")])
     rows = cli.run(spark, cfg, out)

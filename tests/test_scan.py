@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vecstrata.errors import FilterLengthError, QueryDimError, RaggedError, ScaleCountError, StorageError, StrideError, UnknownIdError, ZeroDimError
 from vecstrata.functions import arrays
+from vecstrata.operators import scan
 from vecstrata.operators.filters import IdFilter
 from vecstrata.operators.scan import Scorer, select_top_k, two_stage
 from vecstrata.plans.corpus import Corpus, QuerySet
@@ -141,6 +142,52 @@ def test_two_stage(spark, data):
     assert hits(two_stage(quick, make(spark, [[0.9, 0.1, -0.1, -0.1]], QuerySet), Scorer.F32_BIN, Scorer.F32, 3, 1))[0][1] == 0
 
 
+@pytest.mark.parametrize("dim", [3, 64, 130])
+def test_products_are_corrected_to_sums_in_order(dim):
+    """Float hits found by a matrix product are those of sums in order, bit by bit, with ties, NaN, infinities and large values."""
+    r = np.random.default_rng(dim)
+    x, q = r.normal(size=(3000, dim)).astype(np.float32), r.normal(size=(7, dim)).astype(np.float32)
+    x[100:300] = x[:200]  # ties
+    for case in range(4):
+        if case == 1:
+            x[5, 0], x[17, 1], q[2, 0] = np.nan, np.inf, np.inf
+        elif case == 2:
+            x, q = np.nan_to_num(x) * np.float32(1e19), np.nan_to_num(q) * np.float32(1e19)
+        elif case == 3:
+            x, q = r.choice([-1.0, 1.0], x.shape).astype(np.float32), r.choice([-1.0, 1.0], q.shape).astype(np.float32)
+        with np.errstate(all="ignore"):
+            s = arrays.max_abs_scale(x), arrays.max_abs_scale(q)
+            rows, asked = ({"embedding": v, "scale": t, "codes": arrays.quantize_i8(v, t), "bits": arrays.pack_sign_bits(v)} for v, t in zip((x, q), s, strict=True))
+        for scorer in Scorer:
+            full = scorer.scores(asked, rows, dim)
+            best, side = scan.Best(len(q), 9, False), scan._Asked(scorer, asked)
+            for lo in range(0, 3000, 700):
+                scan._tiles(scorer, side, {c: v[lo : lo + 700] for c, v in rows.items()}, np.arange(lo, min(3000, lo + 700)), dim, best)
+            at, ids, scores = best.hits()
+            for i, row in enumerate(full):
+                want = sorted(range(3000), key=lambda j: (not np.isnan(row[j]), -row[j] if not np.isnan(row[j]) else 0, j))[:9]
+                assert ids[at == i].tolist() == want and np.array_equal(scores[at == i], row[want], equal_nan=True)
+
+
+def test_blocks_of_queries(spark, data):
+    _, _, corpus, queries = data
+    whole = scan.ranked(scan.scan(corpus, queries, {Scorer.F32: 6, Scorer.BIN: 4}).where("scorer = 'f32'"), 6)
+    parts = scan.ranked(scan.scan(corpus, queries, {Scorer.F32: 6}, query_bytes=61 * 4), 6)
+    assert hits(whole) == hits(parts) == hits(Scorer.F32.top_k(corpus, queries, 6))
+    assert hits(Scorer.F32.top_k(corpus, QuerySet(queries.df.where("false"), 61), 6)) == []
+    got = [{tuple(r) for r in scan.kernel_values(corpus, queries, Scorer.BIN, query_bytes=n).collect()} for n in (61 * 4, 1 << 20)]
+    assert got[0] == got[1] and len(got[0]) == 5 * 200
+
+
+@pytest.mark.parametrize("backend", BACKENDS)
+def test_ragged_rows_fail_the_scan(spark, backend):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0])], "id long, embedding array<float>").coalesce(1)
+    corpus, queries = Corpus.from_dataframe(df, dim=2, validate=False), make(spark, [[1.0, 1.0]], QuerySet)
+    for scorer in (Scorer.F32, Scorer.I8) if backend == "catalyst" else Scorer:
+        with pytest.raises(Exception, match="lengths differ: 2 vs 3|holds 3 values; expected 2|3 values"):
+            hits(scorer.top_k(corpus, queries, 2, backend=backend))
+
+
 def test_select_top_k(spark):
     df = spark.createDataFrame([(i, float(i % 4)) for i in range(20)], "id long, v double")
     assert [r["id"] for r in select_top_k(df, F.col("v"), 6).orderBy("rank").collect()] == [3, 7, 11, 15, 19, 2]
@@ -149,9 +196,9 @@ def test_select_top_k(spark):
 
 def test_errors(spark, data):
     _, _, corpus, _ = data
-    with pytest.raises(QueryDimError, match="query dim 1 vs view dim 61"):
+    with pytest.raises(QueryDimError, match="queries have 1 dimensions; the corpus has 61"):
         Scorer.F32.top_k(corpus, make(spark, [[1.0]], QuerySet), 1)
-    with pytest.raises(FilterLengthError, match="filter covers 3 ids but the view has 200 rows"):
+    with pytest.raises(FilterLengthError, match="made for 3 rows; the corpus has 200"):
         Scorer.F32.top_k(corpus, data[3], 1, IdFilter.from_ids([1], spark, universe=3))
     with pytest.raises(IndexError):
         IdFilter.from_ids([5], spark, universe=5)

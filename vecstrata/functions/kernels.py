@@ -32,10 +32,15 @@ def binary_code_len(dim: int) -> int:
     return -(-dim // 8)
 
 
-def same_length(a: Column, b: Column, value: Column) -> Column:
-    """value, or an error where the arrays differ in length."""
-    what = F.concat(F.lit("lengths differ: "), F.size(a).cast("string"), F.lit(" vs "), F.size(b).cast("string"))
-    return F.when(F.size(a) == F.size(b), value).otherwise(F.raise_error(what).cast("int"))
+def _differ(a: Column, b: Column) -> Column:
+    """An error that names the sizes of two arrays."""
+    told = lambda x: F.coalesce(F.size(x).cast("string"), F.lit("none"))
+    return F.raise_error(F.concat(F.lit("lengths differ: "), told(a), F.lit(" vs "), told(b)))
+
+
+def same_length(a: Column, b: Column, value: Column, kind: str = "float") -> Column:
+    """value, of type `kind`, or an error where the arrays differ in length or one is missing."""
+    return F.when(F.size(a) == F.size(b), value).otherwise(_differ(a, b).cast(kind))
 
 
 def _sum(products: Column, zero: Column) -> Column:
@@ -43,11 +48,11 @@ def _sum(products: Column, zero: Column) -> Column:
 
 
 def dot_f32(a: Column, b: Column) -> Column:
-    return _sum(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("float"))
+    return same_length(a, b, _sum(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("float")), "float")
 
 
 def dot_i8(a: Column, b: Column) -> Column:
-    return _sum(F.zip_with(a, b, lambda x, y: x.cast("int") * y.cast("int")), F.lit(0))
+    return same_length(a, b, _sum(F.zip_with(a, b, lambda x, y: x.cast("int") * y.cast("int")), F.lit(0)), "int")
 
 
 def dot_i8_scaled(a: Column, scale_a: Column, b: Column, scale_b: Column) -> Column:
@@ -56,7 +61,7 @@ def dot_i8_scaled(a: Column, scale_a: Column, b: Column, scale_b: Column) -> Col
 
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two byte arrays, padding included."""
-    return _sum(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0))
+    return same_length(a, b, _sum(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0)), "int")
 
 
 def hamming_score(a: Column, b: Column) -> Column:
@@ -69,18 +74,19 @@ def bit(codes: Column, i: Column) -> Column:
     return F.get(codes, F.floor(i / 8).cast("int")).bitwiseAND(mask) != 0
 
 
-def _signed(values: Column, codes: Column, zero: Column) -> Column:
+def _signed(values: Column, codes: Column, zero: Column, kind: str) -> Column:
     def step(t: Column, i: Column) -> Column:
         v = F.get(values, i)
         return F.when(bit(codes, i), t + v).otherwise(t - v)
 
     at = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(at, zero, step)
+    whole = F.size(codes) == F.ceil(F.size(values) / 8)
+    return F.when(whole, F.aggregate(at, zero, step)).otherwise(_differ(values, codes).cast(kind))
 
 
 def dot_f32_bin(q: Column, codes: Column) -> Column:
-    return _signed(q, codes, F.lit(0.0).cast("float"))
+    return _signed(q, codes, F.lit(0.0).cast("float"), "float")
 
 
 def dot_i8_bin(q: Column, codes: Column) -> Column:
-    return _signed(F.transform(q, lambda x: x.cast("int")), codes, F.lit(0))
+    return _signed(F.transform(q, lambda x: x.cast("int")), codes, F.lit(0), "int")

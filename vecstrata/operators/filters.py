@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import FilterLengthError
-from ..functions.rng import splitmix64, uniform
+from ..functions.rng import outputs, uniform
 from ..plans.corpus import Corpus
 
 
@@ -47,14 +47,7 @@ class IdFilter:
 
         @F.pandas_udf("boolean")
         def keep(ids: pd.Series) -> pd.Series:
-            at = ids.to_numpy(np.int64)
-            if not len(at):
-                return pd.Series([], dtype=bool)
-            lo = int(at.min())
-            if int(at.max()) - lo < 4 * len(at) + 1024:  # a dense stretch: draw it once
-                drawn = uniform(splitmix64(seed, int(at.max()) - lo + 1, lo))[at - lo]
-            else:
-                drawn = np.array([uniform(splitmix64(seed, 1, int(i)))[0] for i in at])
+            drawn = uniform(outputs(np.array([seed % 2**64], np.uint64), ids.to_numpy(np.int64)))[0]
             return pd.Series(drawn < keep_fraction)
 
         return cls(predicate=keep(F.col("id")), universe=universe)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import ScanError
 from ..plans.corpus import Corpus, QuerySet
 from .filters import IdFilter
-from .scan import Scorer
+from .scan import Scorer, ranked, scan
 
 # Labels of the configurations.
 COARSE = {"f32 (control)": Scorer.F32, "int8 sym": Scorer.I8, "bin sym": Scorer.BIN, "bin asym f32q": Scorer.F32_BIN, "bin asym i8q": Scorer.I8_BIN}
@@ -110,24 +110,32 @@ def _means(found: list[DataFrame], configs: list[str], truth: DataFrame, queries
     return each.join(of, ["k", "qid"], "left").join(hits, ["config", "k", "qid"], "left").groupBy("config", "k").agg(F.avg(share).alias("recall"))
 
 
-def recalls(corpus: Corpus, queries: QuerySet, cells: list[Cell], ks: list[int], truth: DataFrame, filter: IdFilter | None = None, **options) -> DataFrame:
-    """config, k and recall of all cells, as one lazy table.
+def recalls(corpus: Corpus, queries: QuerySet, cells: list[Cell], ks: list[int], truth: DataFrame | None = None, filter: IdFilter | None = None) -> DataFrame:
+    """config, k and recall of all cells.
 
-    Cells of one coarse scan share it at the largest depth they need: shorter
-    results and pools are its prefixes. The coarse results and the truth are kept
-    in Spark's cache, which the caller may clear.
+    All coarse scans share one read of the rows, each at the largest depth that its
+    cells need: shorter results and pools are its prefixes, and so is the exact
+    result if no truth is given. The coarse hits are cached while this runs; what is
+    returned is one row per cell and k.
     """
     if queries.is_empty():
         raise ScanError("there is no query to measure recall with")
-    kmax, out, truth = max(ks), [], truth.persist()
-    for coarse, scorer in COARSE.items():
-        mine = [c for c in cells if c.coarse == coarse]
-        if not mine:
-            continue
-        deep = max([kmax, *(c.factor * kmax for c in mine if c.factor)])
-        ranked = scorer.top_k(corpus, queries, deep, filter, **options).persist()
-        out += _hits(ranked, corpus, queries, mine, ks)
-    return _means(out, [c.label for c in cells], truth, queries, ks)
+    kmax, named = max(ks), {s.value: c for c, s in COARSE.items()}
+    deep = {COARSE[c.coarse]: 0 for c in cells} | ({Scorer.F32: 0} if truth is None else {})
+    for c in cells:
+        deep[COARSE[c.coarse]] = max(deep[COARSE[c.coarse]], (c.factor or 1) * kmax)
+    deep = {s: max(k, kmax) for s, k in deep.items()}
+    found = scan(filter.apply(corpus) if filter else corpus, queries, deep).persist()
+    try:
+        best, out = {s: ranked(found.where(F.col("scorer") == s.value), k) for s, k in deep.items()}, []
+        for s in deep:
+            if mine := [c for c in cells if c.coarse == named[s.value]]:
+                out += _hits(best[s], corpus, queries, mine, ks)
+        means = _means(out, [c.label for c in cells], best[Scorer.F32] if truth is None else truth, queries, ks)
+        rows = [tuple(r) for r in means.select("config", "k", "recall").collect()]
+    finally:
+        found.unpersist()
+    return corpus.df.sparkSession.createDataFrame(rows, "config string, k int, recall double")
 
 
 def run_matrix(corpus: Corpus, queries: QuerySet, cells: list[Cell], ks: list[int], truth: DataFrame, filter: IdFilter | None = None, *, filter_s: float = 1.0, seed: int = 0, backend: str | None = None) -> list[tuple]:

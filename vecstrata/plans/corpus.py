@@ -141,7 +141,7 @@ class Corpus(Vectors):
         """Raises if any vector's norm isn't 1 within the tolerance."""
         bad = self.df.select("id", quant.l2_norm(F.col("embedding")).alias("norm")).where(F.abs(F.col("norm") - 1) > tolerance).orderBy("id").first()
         if bad:
-            raise StorageError(f"row {bad['id']} has L2 norm {bad['norm']:.4f}, expected 1.0; normalize the vectors first")
+            raise StorageError(f"id {bad['id']}: the vector's norm is {bad['norm']:.6g}, not 1")
 
 
 class QuerySet(Vectors):

@@ -1,4 +1,7 @@
-"""Queries over the table embeddings, each with the same result in SQL."""
+"""Queries over the table embeddings, each with the same result in SQL.
+
+Searches ask with every row whose id is divisible by 50, against all rows.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +13,11 @@ from pyspark.sql import functions as F
 from .functions import quant
 from .operators import parity, recall
 from .operators.filters import IdFilter
-from .operators.scan import Scorer, two_stage
+from .operators.scan import Scorer, kernel_values, two_stage
 from .plans.corpus import Corpus, QuerySet
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES_BELOW, K, POOL = 20, 10, 80
+QUERY_EVERY, K = 50, 10
 FIXED_SCALE_OVER = 127
 
 
@@ -23,7 +26,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 
 def query_set(spark: SparkSession, sf_dir: str, dim: int | None = None) -> QuerySet:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(f"vec_id < {QUERIES_BELOW}")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(f"vec_id % {QUERY_EVERY} = 0")
     return QuerySet.from_dataframe(rows, "vec_id", "embedding", dim, validate=False)
 
 
@@ -40,26 +43,9 @@ def _bin_topk(s: SparkSession, d: str) -> DataFrame:
     return hits.select("qid", "id", (-F.col("score")).cast("int").alias("hamming"), "rank")
 
 
-def _kernel(scorer: Scorer, value: Callable[[DataFrame], DataFrame]) -> Query:
-    """A kernel's value for every pair of query and row: the queries are a stated set."""
-
-    def run(s: SparkSession, d: str) -> DataFrame:
-        c, q = scorer.encoded(corpus(s, d), scorer.row_columns), scorer.encoded(query_set(s, d), scorer.query_columns)
-        rows, asked = scorer._structs(c, q)
-        return rows.crossJoin(F.broadcast(asked)).select("qid", "id", value(scorer).alias("value"))
-
-    return run
-
-
-def _raw(scorer: Scorer):
-    from .functions import kernels
-
-    q, c = (lambda n: F.col(f"q.{n}")), (lambda n: F.col(f"c.{n}"))
-    if scorer is Scorer.I8:
-        return kernels.dot_i8(q("codes"), c("codes"))
-    if scorer is Scorer.BIN:
-        return kernels.hamming(q("bit_bytes"), c("bit_bytes"))
-    return kernels.dot_i8_bin(q("codes"), c("bit_bytes"))
+def _kernel(scorer: Scorer) -> Query:
+    """An integer kernel's value for every pair of query and row."""
+    return lambda s, d: kernel_values(corpus(s, d), query_set(s, d), scorer)
 
 
 def _vectors(s: SparkSession, d: str) -> DataFrame:
@@ -92,9 +78,9 @@ def _unpack(s: SparkSession, d: str) -> DataFrame:
 
 
 def _rerank(s: SparkSession, d: str) -> DataFrame:
-    """Each query's pool: the rows whose id leaves the query's remainder by 20."""
+    """Each query's pool: the rows from its own id to the next query's."""
     c, q = corpus(s, d), query_set(s, d)
-    pool = c.df.select((F.col("id") % QUERIES_BELOW).alias("qid"), "id")
+    pool = c.df.select((F.col("id") - F.col("id") % QUERY_EVERY).alias("qid"), "id")
     return Scorer.I8.rerank(c, q, pool, K)
 
 
@@ -114,9 +100,7 @@ def _prefix_property(s: SparkSession, d: str) -> DataFrame:
 
 
 def _recall_matrix(s: SparkSession, d: str) -> DataFrame:
-    c, q = corpus(s, d).prepared(), query_set(s, d).prepared()
-    truth = recall.ground_truth(c, q, K)
-    rows = recall.recalls(c, q, recall.matrix([2, 4, 8], full=True), [1, K], truth)
+    rows = recall.recalls(corpus(s, d), query_set(s, d), recall.matrix([2, 4, 8], full=True), [1, K])
     return rows.select("config", "k", F.round("recall", 6).alias("recall"))
 
 
@@ -154,9 +138,9 @@ QUERIES: dict[str, Query] = {
     "scan_bin_topk": _bin_topk,
     "scan_f32bin_topk": _scan(Scorer.F32_BIN),
     "scan_i8bin_topk": _scan(Scorer.I8_BIN),
-    "kernel_dot_i8": _kernel(Scorer.I8, _raw),
-    "kernel_hamming": _kernel(Scorer.BIN, _raw),
-    "kernel_dot_i8_bin": _kernel(Scorer.I8_BIN, _raw),
+    "kernel_dot_i8": _kernel(Scorer.I8),
+    "kernel_hamming": _kernel(Scorer.BIN),
+    "kernel_dot_i8_bin": _kernel(Scorer.I8_BIN),
     "quant_i8": _quant_i8,
     "quant_i8_fixed": _quant_i8_fixed,
     "dequant_error": _dequant_error,
@@ -195,7 +179,7 @@ _RANK = "CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS IN
 
 
 def _pairs(score: str, where: str = "true") -> str:
-    return f"SELECT a.vec_id qid, b.vec_id id, {score} score FROM k a CROSS JOIN k b WHERE a.vec_id < {QUERIES_BELOW} AND {where}"
+    return f"SELECT a.vec_id qid, b.vec_id id, {score} score FROM k a CROSS JOIN k b WHERE a.vec_id % {QUERY_EVERY} = 0 AND {where}"
 
 
 def _top(score: str, k: int = K, where: str = "true") -> str:
@@ -222,8 +206,8 @@ def _recall_sql() -> str:
             else:
                 again = f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {cell.store} DESC, id) again FROM r WHERE r_{c} <= {cell.factor * k}"
                 parts.append(f"SELECT '{cell.label}' config, {k} k, count(*) hits FROM ({again}) WHERE again <= {k} AND r_f32 <= {k}")
-    return f"""WITH {_BASE}, p AS (SELECT a.vec_id qid, b.vec_id id, {scores} FROM k a CROSS JOIN k b WHERE a.vec_id < {QUERIES_BELOW}),
-r AS (SELECT *, {ranks} FROM p), h AS ({" UNION ALL ".join(parts)}) SELECT config, CAST(k AS INTEGER) k, round(hits / (k * {QUERIES_BELOW}.0)::DOUBLE, 6) recall FROM h"""
+    return f"""WITH {_BASE}, p AS (SELECT a.vec_id qid, b.vec_id id, {scores} FROM k a CROSS JOIN k b WHERE a.vec_id % {QUERY_EVERY} = 0),
+r AS (SELECT *, {ranks} FROM p), h AS ({" UNION ALL ".join(parts)}) SELECT config, CAST(k AS INTEGER) k, round(hits / (k * (SELECT count(*) FROM embeddings WHERE vec_id % {QUERY_EVERY} = 0))::DOUBLE, 6) recall FROM h"""
 
 
 def _random_sql() -> str:
@@ -256,7 +240,7 @@ e AS ({_EACH.format("q", ", sc", "f")}) SELECT vec_id, sc scale, CAST(i AS INTEG
     "filtered_scan_label": _top("f32", where="b.label = 3"),
     "filtered_scan_ids": _top("f32bin", where=f"b.vec_id IN {LISTED_IDS}"),
     "filtered_scan_random": _random_sql(),
-    "rerank_pool": _top("i8", where=f"b.vec_id % {QUERIES_BELOW} = a.vec_id"),
+    "rerank_pool": _top("i8", where=f"b.vec_id - b.vec_id % {QUERY_EVERY} = a.vec_id"),
     "two_stage_bin_f32_x8": _two("bin", "f32", 8),
     "two_stage_f32bin_f32_x8": _two("f32bin", "f32", 8),
     "two_stage_i8bin_i8_x4": _two("i8bin", "i8", 4),

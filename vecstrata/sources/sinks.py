@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,17 +49,25 @@ def truth_path(base: str, s: float) -> str:
 def load_or_compute_truth(spark: SparkSession, path: str | None, params: dict, compute: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
     """Ground truth, and whether it came from the cache at path.
 
-    The cache counts only if it is whole and was made for the same params, which
-    should name the contents of both sides; otherwise it is written anew.
+    The cache counts only if it was made for the same params, which should name the
+    contents of both sides, and if all its rows can be read and add up to the digest
+    kept beside them; any damage makes it a miss. A cache that can't be written is a warning.
     """
     if path is None:
         return compute(), False
-    digest = hashlib.sha256(json.dumps(params, sort_keys=True).encode()).hexdigest()
-    at = f"{path}/{digest}"
+    at = f"{path}/{hashlib.sha256(json.dumps(params, sort_keys=True).encode()).hexdigest()}"
     try:
-        return spark.read.parquet(at), True
-    except Exception as e:  # a missing or broken cache is recomputed, never an error
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e) and "CANNOT_READ_FILE" not in str(e):
-            raise
-    compute().write.mode("overwrite").parquet(at)
-    return spark.read.parquet(at), False
+        rows = spark.read.parquet(f"{at}/rows")
+        if spark.read.text(f"{at}/digest").first()["value"] == fingerprint(rows):
+            return rows, True
+    except Exception as e:  # a cache is never an error
+        warnings.warn(f"no ground truth is read from {at}: {type(e).__name__}", stacklevel=2)
+    truth = compute()
+    try:
+        truth.write.mode("overwrite").parquet(f"{at}/rows")
+        rows = spark.read.parquet(f"{at}/rows")
+        spark.createDataFrame([(fingerprint(rows),)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/digest")
+    except Exception as e:
+        warnings.warn(f"ground truth isn't kept in {at}: {type(e).__name__}", stacklevel=2)
+        return truth, False
+    return rows, False
