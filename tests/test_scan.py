@@ -188,6 +188,14 @@ def test_ragged_rows_fail_the_scan(spark, backend):
             hits(scorer.top_k(corpus, queries, 2, backend=backend))
 
 
+def test_prepared_is_the_same_both_ways(spark):
+    x = np.concatenate([np.random.default_rng(8).normal(size=(40, 13)), np.zeros((1, 13)), np.full((1, 13), np.nan)]).astype(np.float32)
+    corpus = make(spark, x)
+    corpus = Corpus(corpus.df.withColumn("label", F.col("id") * 2), 13)
+    a, b = (sorted(str(sorted(r.asDict().items())) for r in corpus.prepared(backend=n).df.collect()) for n in BACKENDS)
+    assert a == b
+
+
 def test_select_top_k(spark):
     df = spark.createDataFrame([(i, float(i % 4)) for i in range(20)], "id long, v double")
     assert [r["id"] for r in select_top_k(df, F.col("v"), 6).orderBy("rank").collect()] == [3, 7, 11, 15, 19, 2]

@@ -7,14 +7,17 @@ codes (array<tinyint>) with scale (float), bits (BINARY) with bit_bytes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import RaggedError, ScaleCountError, StorageError, StrideError, TooManyRowsError, ZeroDimError
-from ..functions import quant
-from ..functions.kernels import binary_code_len
+from ..functions import arrays, quant
+from ..functions.kernels import binary_code_len, detected
 
 U32_ROWS = 2**32 - 1
 
@@ -70,9 +73,28 @@ class Vectors:
         df = self.df.withColumn("bit_bytes", quant.pack_sign_bits(F.col("embedding")))
         return replace(self, df=df.withColumn("bits", quant.to_binary(F.col("bit_bytes"))))
 
-    def prepared(self):
-        """All representations."""
-        return self.with_int8().with_bits()
+    def prepared(self, backend: str | None = None):
+        """All representations: in numpy on Arrow batches, or as expressions; both give the same."""
+        if (backend or detected()) != "arrow" or "embedding" not in self.df.columns:
+            return self.with_int8().with_bits()
+        df, dim = self.df.drop("scale", "codes", "bit_bytes", "bits"), self.dim
+        at, names = df.columns.index("embedding"), ["scale", "codes", "bit_bytes", "bits"]
+
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = arrays.matrix(batch.column(at), np.float32, dim)
+                scale, bits = arrays.max_abs_scale(x), arrays.pack_sign_bits(x)
+
+                def lists(rows: np.ndarray, kind: pa.DataType, n: int = len(x)) -> pa.Array:
+                    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1), kind))
+
+                places = pa.array(np.arange(len(x) + 1) * bits.shape[1], pa.int32())
+                packed = pa.Array.from_buffers(pa.binary(), len(x), [None, places.buffers()[1], pa.py_buffer(bits.tobytes())])
+                new = [pa.array(scale, pa.float32(), from_pandas=False), lists(arrays.quantize_i8(x, scale), pa.int8()), lists(bits.astype(np.int32), pa.int32()), packed]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        return replace(self, df=df.mapInArrow(make, f"{schema}, scale float, codes array<tinyint>, bit_bytes array<int>, bits binary"))
 
 
 class Corpus(Vectors):
