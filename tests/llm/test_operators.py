@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -350,6 +351,22 @@ def test_matrix_is_exact_and_uniform():
     assert abs(big.mean() - 250) < 3 and abs(big.std() - 13.7) < 2
 
 
+def test_decontamination_of_periodic_texts(spark):
+    """One word repeated, and short periods: time grows with the texts, not with the pairs of their places."""
+    cases = [("a " * 40_000, "a " * 2000), ("a b " * 20_000, "b a " * 1000), ("a b c " * 5000 + "x " + "a b c a " * 500, "c a b " * 300 + "a"), ("p q " * 4, "p q p"), ("z " * 9, "z " * 10), ("z " * 10, "z " * 10)]
+    rows = [(i, t, None) for i, (t, _) in enumerate(cases)] + [(9, "m " * 30_000 + "a b c a", None)]
+    items = [(i, t) for i, (_, t) in enumerate(cases)]
+    began = time.perf_counter()
+    index = dec.Index([str(i) for i, _ in items], [t for _, t in items])
+    n, hit, found = dec._judge([t.encode() for _, t, _ in rows], index)
+    assert time.perf_counter() - began < 20
+    want = judged(rows, items)
+    assert [(a, b, len(c), hashlib.sha256(",".join(sorted(c)).encode()).hexdigest()) for a, b, c in zip(n.tolist(), hit.tolist(), found, strict=True)] == [x[1:5] for x in want]
+    docs, bench = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for local in (0, 10**6):
+        assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in dec.decontaminate(docs, bench, max_local_words=local).select("doc_id", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()) == sorted(want)
+
+
 def judged(rows, items):
     wins = collections.defaultdict(set)
     for i, t in items:

@@ -1,13 +1,16 @@
 """Benchmark decontamination by winnowing.
 
 Of each `width` successive k-grams of a text the one with the least hash is
-kept, so two texts that share k + width - 1 words share a kept hash. Kept
-hashes of documents are joined with those of the benchmark, each hit is
-extended word by word to the longest common run, and runs of at least
-`window` words count. Items of fewer words are matched whole.
+kept, so two texts that share k + width - 1 words share a kept hash at the same
+place of what they share. Kept hashes of documents are joined with those of the
+benchmark, and each hit is extended to the windows of `window` words around it:
+those that the benchmark holds too are counted, and so a run of any length is
+covered window by window. A place is looked up once, whatever the number of its
+partners, so the work grows with the hits of a document, also where texts repeat
+themselves. Items of fewer words are matched whole.
 
 Words are compared by 64-bit hashes. The index of the benchmark goes to the
-tasks only while it has at most `max_local_words` words (about 24 bytes each);
+tasks only while it has at most `max_local_words` words (about 40 bytes each);
 a larger benchmark is joined by shuffling the kept hashes.
 
 Defined results: a null text has no words; a text or item without words has no
@@ -34,66 +37,63 @@ RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contamina
 SLICE = 4 << 20
 
 
+class Windows:
+    """The distinct windows of n words of benchmark items: hashes, the word where one begins, and the items that hold it."""
+
+    def __init__(self, h: np.ndarray, own: np.ndarray, first: np.ndarray, n: int):
+        self.n, g = n, grams(h, n)[first]
+        order = np.lexsort((own[first], g))
+        g, first = g[order], first[order]
+        self.hashes, at = np.unique(g, return_index=True)
+        self.first = first[at]
+        number = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(g))))
+        pairs = np.unique(np.stack([number, own[first]], 1), axis=0)
+        self.items = pairs[:, 1]
+        self.bounds = np.searchsorted(pairs[:, 0], np.arange(len(at) + 1))
+
+    def find(self, g: np.ndarray) -> np.ndarray:
+        """The number of each window hash, -1 for those that no item holds."""
+        if not len(self.hashes):
+            return np.full(len(g), -1)
+        at = np.minimum(np.searchsorted(self.hashes, g), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == g, at, -1)
+
+
 class Index:
-    """Word hashes of benchmark items with their kept k-grams, sorted."""
+    """Word hashes of benchmark items, their kept k-grams and their windows."""
 
     def __init__(self, ids: list[str], texts: list[str | None], window: int = WINDOW, k: int = K):
         self.window, self.k, self.ids = window, k, ids
-        self.h, self.bounds = word_hashes([(t or "").encode() for t in texts])
-        self.own = owners(self.bounds)
-        lengths = np.diff(self.bounds)
-        kept, place = winnow(self.h, self.bounds, k, window - k + 1)
-        order = np.argsort(kept, kind="stable")
-        self.tables = [(0, kept[order], place[order])]
+        self.h, bounds = word_hashes([(t or "").encode() for t in texts])
+        own, lengths = owners(bounds), np.diff(bounds)
+        self.kept = np.unique(winnow(self.h, bounds, k, window - k + 1)[0])
+        whole = np.flatnonzero(own[: max(0, len(own) - window + 1)] == own[window - 1 :])
+        self.windows = [Windows(self.h, own, whole, window)]
         for n in sorted(set(lengths[(lengths > 0) & (lengths < window)].tolist())):
-            first = self.bounds[:-1][lengths == n]
-            g = grams(self.h, n)[first]
-            order = np.argsort(g, kind="stable")
-            self.tables.append((n, g[order], first[order]))
-
-    def runs(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Item, first and end word of each common run in documents of words h."""
-        own, out = owners(bounds), []
-        for n, kept, at in self.tables:
-            if not len(kept):
-                continue
-            if n:
-                g = grams(h, n)
-                place = np.flatnonzero(own[: len(g)] == own[n - 1 :]) if len(g) else np.zeros(0, np.int64)
-                g = g[place]
-            else:
+            self.windows.append(Windows(self.h, own, bounds[:-1][lengths == n], n))
+
+    def hits(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[Windows, np.ndarray, np.ndarray]]:
+        """For each length of windows: where in documents of words h they occur, and which."""
+        own = owners(bounds)
+        for w in self.windows:
+            first = np.flatnonzero(own[: max(0, len(own) - w.n + 1)] == own[w.n - 1 :])
+            if w.n == self.window:
                 g, place = winnow(h, bounds, self.k, self.window - self.k + 1)
-            lo, hi = np.searchsorted(kept, g), np.searchsorted(kept, g, "right")
-            hit = np.flatnonzero(hi > lo)
-            times = (hi - lo)[hit]
-            p = np.repeat(place[hit], times)
-            q = at[np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-            left, right = self._extend(h, bounds, own, p, q)
-            item = self.own[q]
-            ok = (left == p) & (right - p >= n) & (q == self.bounds[item]) if n else right - left >= self.window
-            right = p + n if n else right
-            out.append(np.stack([item, left, right], 1)[ok])
-        runs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
-        return runs[:, 0], runs[:, 1], runs[:, 2]
-
-    def _extend(self, h, bounds, own, p, q) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of the longest common run around document word p and item word q."""
-        item, doc = self.own[q], own[p]
-        ends = []
-        for step, a, b in ((-1, bounds[doc], self.bounds[item]), (1, bounds[doc + 1] - 1, self.bounds[item + 1] - 1)):
-            room = np.minimum((a - p) * step, (b - q) * step)
-            length, live, d = np.zeros(len(p), np.int64), np.arange(len(p)), 0
-            if step == 1:  # the word itself
-                same = h[p] == self.h[q]
-                length[:] = same
-                live = np.flatnonzero(same)
-            while len(live):
-                d += 1
-                live = live[room[live] >= d]
-                live = live[h[p[live] + step * d] == self.h[q[live] + step * d]]
-                length[live] += 1
-            ends.append(length)
-        return p - ends[0], p + ends[1]
+                first = around(place[np.isin(g, self.kept)], bounds, own, self.window, self.k)
+            number = w.find(grams(h, w.n)[first]) if len(first) else np.zeros(0, np.int64)
+            first, number = first[number >= 0], number[number >= 0]
+            same = np.ones(len(first), bool)
+            for j in range(w.n):  # word by word: equal hashes of windows are no proof
+                same &= h[first + j] == self.h[w.first[number] + j]
+            yield w, first[same], number[same]
+
+
+def around(place: np.ndarray, bounds: np.ndarray, own: np.ndarray, window: int, k: int) -> np.ndarray:
+    """First words of all windows of a document that hold a kept k-gram at one of these places."""
+    first = (place[:, None] - np.arange(window - k + 1)).reshape(-1)
+    doc = np.repeat(own[place], window - k + 1)
+    inside = (first >= bounds[doc]) & (first + window <= bounds[doc + 1])
+    return np.unique(first[inside])
 
 
 def _judge(texts: list[bytes], index: Index | None) -> tuple[list, ...]:
@@ -101,16 +101,14 @@ def _judge(texts: list[bytes], index: Index | None) -> tuple[list, ...]:
     h, bounds = word_hashes(texts)
     hits, items = np.zeros(len(texts), np.int64), [set() for _ in texts]
     if index is not None and len(h):
-        item, left, right = index.runs(h, bounds)
-        if len(item):
-            own = owners(bounds)
-            cover = np.zeros(len(h) + 1, np.int64)
-            np.add.at(cover, left, 1)
-            np.add.at(cover, right, -1)
-            hits = np.bincount(own[np.cumsum(cover)[:-1] > 0], minlength=len(texts))
-            for doc, i in np.unique(np.stack([own[left], item], 1), axis=0).tolist():
-                items[doc].add(index.ids[i])
-    return np.diff(bounds), hits, items
+        own, cover = owners(bounds), np.zeros(len(h) + 1, np.int64)
+        for w, first, number in index.hits(h, bounds):
+            np.add.at(cover, first, 1)
+            np.add.at(cover, first + w.n, -1)
+            for doc, i in np.unique(np.stack([own[first], number], 1), axis=0).tolist():
+                items[doc].update(w.items[w.bounds[i] : w.bounds[i + 1]].tolist())
+        hits = np.bincount(own[np.cumsum(cover)[:-1] > 0], minlength=len(texts))
+    return np.diff(bounds), hits, [{index.ids[i] for i in x} for x in items]
 
 
 def slices(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -158,54 +156,54 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, text_col: str = "text",
 
 
 def _joined(docs: DataFrame, items: DataFrame, text_col: str, window: int, k: int) -> DataFrame:
-    """As decontaminate, for benchmarks of any size: equal texts are judged once."""
+    """As decontaminate, for benchmarks of any size: equal texts are judged once.
+
+    Documents send their kept hashes with the windows around them; those whose kept
+    hash the benchmark has too are looked up among its windows. No text moves.
+    """
     items = items.withColumn("_n", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))))
     short = [r["_n"] for r in items.where(f"_n between 1 and {window - 1}").select("_n").distinct().collect()]
-    texts = docs.select(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("_vs_sha"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    distinct = texts.dropDuplicates(["_vs_sha"])
+    sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    distinct = docs.select(sha.alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text")).dropDuplicates(["key"])
+
+    def sent(whole: bool):
+        """key, n, kept, first and hash of windows; for items all of them, for short windows kept is the hash itself."""
 
-    def kept(whole: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for first, part in slices(batch.column("text").to_pylist()):
+                for at, part in slices(batch.column("text").to_pylist()):
                     h, bounds = word_hashes(part)
                     own, lengths = owners(bounds), np.diff(bounds)
-                    found = [(winnow(h, bounds, k, window - k + 1), 0)]
-                    for n in short:
-                        g = grams(h, n)
-                        place = np.flatnonzero(own[: len(g)] == own[n - 1 :]) if len(g) else np.zeros(0, np.int64)
-                        if whole:
-                            place = place[(lengths[own[place]] == n)]
-                        found.append(((g[place], place), n))
-                    for (g, place), n in found:
-                        u = np.unique(np.stack([own[place].astype(U64), g], 1), axis=0)
-                        key = batch.column(0).slice(first, len(part)).take(pa.array(u[:, 0].astype(np.int64)))
-                        yield pa.RecordBatch.from_arrays([key, pa.array(u[:, 1].view(np.int64) if len(u) else [], pa.int64()), pa.array(np.full(len(u), n), pa.int32())], names=["key", "h", "n"])
+                    g, place = winnow(h, bounds, k, window - k + 1)
+                    for n in [window, *short]:
+                        if n == window:
+                            first = (place[:, None] - np.arange(window - k + 1)).reshape(-1)
+                            kept, doc = np.repeat(g, window - k + 1), np.repeat(own[place], window - k + 1)
+                            inside = (first >= bounds[doc]) & (first + window <= bounds[doc + 1])
+                            first, kept = first[inside], kept[inside]
+                            found = grams(h, window)[first] if len(first) else np.zeros(0, U64)
+                        else:
+                            first = np.flatnonzero(own[: max(0, len(own) - n + 1)] == own[n - 1 :])
+                            first = first[lengths[own[first]] == n] if whole else first
+                            found = kept = grams(h, n)[first] if len(first) else np.zeros(0, U64)
+                        doc = own[first]
+                        columns = [batch.column(0).slice(at, len(part)).take(pa.array(doc)), pa.array(np.full(len(first), n), pa.int32()), pa.array(kept.view(np.int64)), pa.array(first - bounds[doc]), pa.array(found.view(np.int64))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "kept", "first", "hash"])
 
         return run
 
-    mine = distinct.select(F.col("_vs_sha").alias("key"), "text").mapInArrow(kept(False), "key string, h long, n int")
-    numbered = items.select(F.sha2(F.concat_ws("\x00", "item_id", "text"), 256).alias("key"), "item_id", "text").dropDuplicates(["key"])
-    theirs = numbered.select("key", "text").mapInArrow(kept(True), "key string, h long, n int").withColumnRenamed("key", "item")
-    pairs = mine.join(theirs, ["h", "n"]).select("key", "item").distinct()
-    pairs = pairs.join(distinct.select(F.col("_vs_sha").alias("key"), "text"), "key").join(numbered.select(F.col("key").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = {"key": [], "item_id": [], "l": [], "r": []}
-            for key, text, item_id, item_text in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "item_id", "item_text")), strict=True):
-                _, left, right = Index([item_id], [item_text], window, k).runs(*word_hashes([text.encode()]))
-                for c, v in (("key", [key] * len(left)), ("item_id", [item_id] * len(left)), ("l", left.tolist()), ("r", right.tolist())):
-                    out[c] += v
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.string()), ("item_id", pa.string()), ("l", pa.int64()), ("r", pa.int64())]))
-
-    runs = pairs.select("key", "text", "item_id", "item_text").mapInArrow(verify, "key string, item_id string, l long, r long")
+    schema = "key string, n int, kept long, first long, hash long"
+    mine = distinct.mapInArrow(sent(False), schema)
+    theirs = items.select(F.col("item_id").alias("key"), "text").mapInArrow(sent(True), schema)
+    near = mine.join(theirs.select("n", "kept").distinct(), ["n", "kept"], "left_semi").select("key", "n", "first", "hash").distinct()
+    found = near.join(theirs.select(F.col("key").alias("item_id"), "n", "hash").distinct(), ["n", "hash"])
+    listed = found.select("key", "item_id").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
+    runs = found.select("key", F.col("first").alias("l"), (F.col("first") + F.col("n")).alias("r")).distinct()
     before = Window.partitionBy("key").orderBy("l", "r").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("r") - F.greatest("l", F.coalesce(F.max("r").over(before), F.col("l"))))
-    found = runs.withColumn("new", fresh).groupBy("key").agg(F.sum("new").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("ids"))
-    counted = distinct.select(F.col("_vs_sha").alias("key"), "text").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([b.column(0), pa.array([int(word_hashes([t.encode()])[1][-1]) for t in b.column(1).to_pylist()], pa.int64())], names=["key", "n_words"]) for b in bs), "key string, n_words long")
-    judged = counted.join(found, "key", "left").select(
-        F.col("key").alias("_vs_sha"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
+    hit = runs.withColumn("new", fresh).groupBy("key").agg(F.sum("new").alias("n_hit"))
+    counted = distinct.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([b.column(0), pa.array([int(word_hashes([t.encode()])[1][-1]) for t in b.column(1).to_pylist()], pa.int64())], names=["key", "n_words"]) for b in bs), "key string, n_words long")
+    judged = counted.join(hit, "key", "left").join(listed, "key", "left").select(
+        F.col("key").alias("_vs_sha"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.greatest(F.coalesce(F.size("ids"), F.lit(0)), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "ids"), F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
-    judged = judged.withColumn("n_items", F.greatest("n_items", F.lit(0)))
-    return docs.withColumn("_vs_sha", F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)).join(judged, "_vs_sha").drop("_vs_sha")
+    return docs.withColumn("_vs_sha", sha).join(judged, "_vs_sha").drop("_vs_sha")
