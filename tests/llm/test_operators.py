@@ -91,11 +91,34 @@ def test_ngram_join_large_group(spark):
         assert sum(abs(got[i] - links[i]) for i in range(90)) <= 0.01 * sum(links)  # pairs near 0.8 may be missed, very rarely
 
 
-def test_forest_recall():
+def test_forest_shortens_until_the_recall_is_reached():
     f = ngram_join.Forest()
-    assert f.prefix() == 4 and 1 - (1 - 0.8**4) ** 20 >= 0.9999
+    for n in range(1, 300):
+        best = min((c / (n + m - c) for m in range(1, 2 * n + 2) for c in range(1, min(n, m) + 1) if (n, n) != (m, c) and c / (n + m - c) >= 0.8 - 1e-9), default=0.0)
+        assert f.least(n) == pytest.approx(best) or (n > 100 and f.least(n) == 0.8 <= best)
+        d = f.stop(n)
+        assert (d == 0) == (best == 0) and (not d or 1 - (1 - best**d) ** 20 >= 0.9999 and (d == 8 or 1 - (1 - f.least(n) ** (d + 1)) ** 20 < 0.9999))
+        # each pair meets at the longer of its two prefixes
+        assert all(max(f.stop(n), f.stop(m)) in f.levels(n) for m in range(1, 400) if d and f.stop(m) and min(n, m) >= 0.8 * max(n, m) - 1e-9)
+    assert [f.stop(n) for n in (1, 3, 4, 6, 7, 1000)] == [0, 0, 4, 5, 6, 4]
+    assert ngram_join.Forest(recall=0.9).stop(1000) == 8
     with pytest.raises(ValueError, match="more trees"):
-        ngram_join.Forest(trees=1).prefix()
+        ngram_join.Forest(trees=1).stop(50)
+
+
+def test_forest_recall_is_what_it_promises():
+    """Pairs of known similarity meet as often as the estimate says."""
+    r = np.random.default_rng(1)
+    for forest, s in ((ngram_join.Forest(trees=3, depth=4, recall=0.1), 0.8), (ngram_join.Forest(trees=6, depth=8, recall=0.5), 0.9)):
+        common, met = 180, 0
+        each = round(common * (1 - s) / s / 2)
+        for _ in range(300):
+            x = r.integers(0, 2**63, common + 2 * each, dtype=np.uint64)
+            pair = np.concatenate([x[: common + each], x[:common], x[common + each :]])
+            p = ngram_join.prefixes(ngram_join.signatures(pair, np.array([0, common + each, len(pair)]), forest), forest.stop(common + each))
+            met += bool((p[0] == p[1]).any())
+        true = common / (common + 2 * each)
+        assert abs(met / 300 - (1 - (1 - true ** forest.stop(common + each)) ** forest.trees)) < 0.1
 
 
 def test_components(spark):

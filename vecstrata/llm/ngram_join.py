@@ -1,17 +1,22 @@
-"""N-gram Jaccard self-join with MinHash LSH banding and exact verification.
+"""N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
 
 A text's set holds the hashes of its runs of five words (one run of all words if
-there are fewer). Texts with equal sets form one node with its number of
-copies. Each of `trees` bands ("trees") has p MinHash values, folded into one
-hash; two nodes of similarity s share it with probability s**p. One p is fixed for
-all beforehand: the longest, up to `depth`, for which 1 - (1 - s**p)**trees
-reaches the target recall at the threshold (4 by default). Nodes of equal hashes
-are candidates for each other. This stands in for an LSH forest: there are no
-tries and nothing is shortened by what matched (README.md says why). Groups with
-the same members as one in an earlier tree are left out.
+there are fewer). Texts with equal sets form one node with its number of copies.
+A node's signature has `depth` MinHash values in each of `trees` prefix tries: a
+trie's node at level d stands for all signatures that begin with the same d values.
+
+Two nodes of similarity s share a prefix of d values in some tree with probability
+1 - (1 - s**d)**trees. Each node starts with its whole signatures and shortens the
+prefixes that it matches, level by level, until that estimate reaches the target
+recall for the least similarity that any partner of it can have: the threshold for
+most, more for small sets, whose similarities are few (4/5, 5/6, 6/7 ...), and sets
+too small to have a partner don't search at all. A pair needs the longer of its two
+prefixes. Levels of the tries are counted by partial sums, so a branch that holds
+much of the corpus is no task's burden. Branches with the same members as one in an
+earlier tree are left out.
 
 Candidates are verified where they meet, and no pair becomes a row. A task gets
-the sets of a group, or of two blocks of a large group, settles the pairs that
+the sets of a branch, or of two blocks of a large branch, settles the pairs that
 no earlier tree has brought together (so each pair counts once), and returns
 a row per linked node: its links and one link of a spanning forest.
 Classes are the connected components of all links.
@@ -30,8 +35,10 @@ Columns besides key and text are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .decontaminate import slices
-from .shared import written
+from .shared import hot_join, written
 from .words import U64, grams, mix, owners, word_hashes
 
 #: Candidate nodes up to which their list is sent to all tasks (about 40 bytes each).
@@ -58,16 +65,61 @@ class Forest:
     recall: float = 0.9999
     seed: int = 20240229
 
-    def prefix(self) -> int:
-        """The longest prefix that reaches the target recall."""
-        for p in range(self.depth, 0, -1):
-            if 1 - (1 - self.threshold**p) ** self.trees >= self.recall:
-                return p
-        raise ValueError("more trees are needed for this recall")
+    def least(self, size: int) -> float:
+        """The least similarity, of the threshold at least, that a set of this size can have with another; 0 for none."""
+        if size > self.smallest_usual():
+            return self.threshold
+        t, found = self.threshold - 1e-9, []
+        for common in range(1, size + 1):
+            other = int(common / t + common - size)  # the largest set for which it is enough
+            other = other if (common, other) != (size, size) else other - 1
+            if other >= common and common / (size + other - common) >= t:
+                found.append(common / (size + other - common))
+        return min(found, default=0.0)
+
+    def smallest_usual(self) -> int:
+        """Sets above this size can come as close to the threshold as makes no difference."""
+        return int(4 / (1 - self.threshold + 1e-9) ** 2)
+
+    def stop(self, size: int) -> int:
+        """Values of the prefix at which a node of this size stops shortening; 0 if it needs no search."""
+        return self._stops().get(size, self._stops()[0]) if size else 0
+
+    def _stops(self) -> dict[int, int]:
+        """stop() by size; 0: of all larger sizes."""
+        return _stops(self)
+
+    def levels(self, size: int) -> list[int]:
+        """Levels at which a node of this size meets partners: the longer prefix of each pair counts."""
+        mine = self.stop(size)
+        if not mine:
+            return []
+        t = self.threshold - 1e-9
+        partners = {self.stop(n) for n in range(max(1, int(size * t)), min(int(size / t), size + 2 * self.smallest_usual()) + 1)}
+        return sorted({max(mine, p) for p in partners if p})
 
     def multipliers(self) -> np.ndarray:
         rng = np.random.Generator(np.random.PCG64(self.seed))
-        return rng.integers(1, 2**63, size=(self.trees, self.prefix()), dtype=U64) * U64(2) + U64(1)
+        return rng.integers(0, 2**31, size=(self.trees, self.depth), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+    @property
+    def width(self) -> int:
+        """Values of a path as stored, in whole 64-bit words."""
+        return -(-self.depth // 4) * 4
+
+
+@cache
+def _stops(forest: Forest) -> dict[int, int]:
+    def shortened(similarity: float) -> int:
+        d = forest.depth
+        while d and 1 - (1 - similarity**d) ** forest.trees < forest.recall:
+            d -= 1
+        if not d:
+            raise ValueError("more trees are needed for this recall")
+        return d
+
+    least = {n: forest.least(n) for n in range(1, forest.smallest_usual() + 1)}
+    return {0: shortened(forest.threshold)} | {n: shortened(s) if s else 0 for n, s in least.items()}
 
 
 def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,36 +139,48 @@ def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return values[order], np.searchsorted(who[order], np.arange(len(texts) + 1))
 
 
-def labels(values: np.ndarray, bounds: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """For each text and tree the hash of its prefix; texts must have shingles."""
-    out = np.zeros((len(bounds) - 1, len(multipliers)), U64)
-    for t, row in enumerate(multipliers):
-        for a in row:
-            v = values * a
-            v ^= v >> U64(32)
-            out[:, t] = mix(out[:, t] + np.minimum.reduceat(v, bounds[:-1]))
+def signatures(values: np.ndarray, bounds: np.ndarray, forest: Forest) -> np.ndarray:
+    """Text x tree x level: 16 bits of each MinHash value; texts must have shingles."""
+    out = np.zeros((len(bounds) - 1, forest.trees, forest.width), np.uint16)
+    x = (values >> U64(32)).astype(np.uint32)
+    for t, row in enumerate(forest.multipliers()):
+        for level, a in enumerate(row):
+            least = np.minimum.reduceat(x * a, bounds[:-1])
+            out[:, t, level] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    return out
+
+
+def prefixes(paths: np.ndarray, level: int) -> np.ndarray:
+    """For each node and tree one number for the first `level` values."""
+    kept = paths.copy()
+    kept[:, :, level:] = 0
+    words = kept.view(U64)
+    out = words[:, :, 0]
+    for i in range(1, words.shape[2]):
+        out = mix(out) + words[:, :, i]
     return out
 
 
 def _sketch(docs: DataFrame, forest: Forest) -> DataFrame:
-    """key, text_hash, node (null without words) and paths of each document."""
+    """key, text_hash, node (null without words), size of its set, and paths of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        multipliers = forest.multipliers()
         for batch in batches:
             for first, part in slices(batch.column(2).to_pylist()):
                 values, bounds = shingles(part, forest.words)
                 full = np.flatnonzero(np.diff(bounds))
                 nodes: list = [None] * len(part)
                 paths: list = [None] * len(part)
+                sizes: list = [None] * len(part)
                 if len(full):
-                    found = labels(values, np.append(bounds[:-1][full], bounds[-1]), multipliers)
+                    found = signatures(values, np.append(bounds[:-1][full], bounds[-1]), forest)
                     for i, row in zip(full.tolist(), found, strict=True):
-                        nodes[i] = hashlib.blake2b(np.unique(values[bounds[i] : bounds[i + 1]]).tobytes(), digest_size=16).digest()
-                        paths[i] = row.astype("<u8").tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), pa.array(nodes, pa.binary()), pa.array(paths, pa.binary())], names=["key", "text_hash", "node", "paths"])
+                        own = np.unique(values[bounds[i] : bounds[i + 1]])
+                        nodes[i], sizes[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own)
+                        paths[i] = row.astype("<u2").tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(paths, pa.binary())], names=["key", "text_hash", "node", "size", "paths"])
 
-    return docs.select("key", "text_hash", "text").mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, text_hash long, node binary, paths binary")
+    return docs.select("key", "text_hash", "text").mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, text_hash long, node binary, size long, paths binary")
 
 
 def _sets(docs: DataFrame, forest: Forest) -> DataFrame:
@@ -132,26 +196,27 @@ def _sets(docs: DataFrame, forest: Forest) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node binary, shingles binary")
 
 
-def _meet(tree: int, across: bool, rows: list[tuple], threshold: float) -> list[tuple[bytes, bytes, int]]:
+def _meet(tree: int, level: int, across: bool, rows: list[tuple], forest: Forest) -> list[tuple[bytes, bytes, int]]:
     """node, a node of its class, weight of its links, for the linked nodes of a block.
 
     rows: node, copies, paths, shingles and side; `across`: only pairs of different sides count.
     """
-    rows = sorted({r[0]: r for r in rows}.values())
+    rows, threshold = sorted({r[0]: r for r in rows}.values()), forest.threshold
     m = len(rows)
-    paths = np.stack([np.frombuffer(r[2], "<u8") for r in rows])
+    paths = prefixes(np.stack([np.frombuffer(r[2], "<u2") for r in rows]).reshape(m, forest.trees, forest.width), level)
     side = np.array([r[4] for r in rows])
     size = np.array([len(r[3]) // 8 for r in rows])
+    stop = np.array([forest.stop(int(n)) for n in size])
     new = np.zeros((m, m), bool)
     for i in range(m - 1):
         j = slice(i + 1, m)
-        ok = paths[j, tree] == paths[i, tree]
+        ok = (paths[j, tree] == paths[i, tree]) & (np.maximum(stop[j], stop[i]) == level)
         if tree:
             ok &= ~(paths[j, :tree] == paths[i, :tree]).any(axis=1)
         if across:
             ok &= side[j] != side[i]
         # sets of too different sizes can't be similar enough
-        ok &= np.minimum(size[j], size[i]) >= threshold * np.maximum(size[j], size[i])
+        ok &= np.minimum(size[j], size[i]) >= threshold * np.maximum(size[j], size[i]) - 1e-9
         new[i, j] = ok
     a, b = np.nonzero(new)
     if not len(a):
@@ -218,25 +283,32 @@ def similar(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text",
     class_node (a digest, null without words) of each row of docs."""
     docs = docs.select(docs[key_col].alias("key"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text"))
     sketch = written(_sketch(docs, forest), "ngram-sketch")
-    nodes = sketch.where("node is not null").groupBy("node", "paths").agg(F.min(F.struct("key", "text_hash")).alias("first"), F.min("key").alias("least_key"), F.count("*").alias("copies"))
+    nodes = sketch.where("node is not null").groupBy("node", "size", "paths").agg(F.min(F.struct("key", "text_hash")).alias("first"), F.min("key").alias("least_key"), F.count("*").alias("copies"))
     nodes = written(nodes, "ngram-nodes")
-    prefixes = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(forest.trees - 1)), lambda t: F.xxhash64(F.substring("paths", t * 8 + 1, F.lit(8))))).alias("tree", "prefix"))
-    groups = prefixes.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("node"), 24)).alias("members"), F.min("node").alias("least")).where("n > 1")
-    groups = groups.groupBy("n", "members", "least").agg(F.min(F.struct("tree", "prefix")).alias("g")).select("g.tree", "g.prefix", "n")
-    members = written(prefixes.join(groups, ["tree", "prefix"]), "ngram-members")
+    usual = F.lit(forest.levels(4 * forest.smallest_usual()))
+    by_size = [forest.levels(n) for n in range(1, 3 * forest.smallest_usual() + 1)]
+    levels = F.when(F.col("size") <= len(by_size), F.get(F.from_json(F.lit(json.dumps(by_size)), "array<array<int>>"), F.col("size").cast("int") - 1)).otherwise(usual)
+    entries = nodes.select("node", "paths", F.explode(levels).alias("level"))
+    bytes_of_tree = 2 * forest.width
+    branch = F.transform(F.sequence(F.lit(0), F.lit(forest.trees - 1)), lambda t: F.xxhash64(F.substring("paths", t * bytes_of_tree + 1, F.col("level") * 2)))
+    branches = entries.select("node", "level", F.posexplode(branch).alias("tree", "prefix"))
+    sums = [F.sum(F.shiftright(F.xxhash64("node", F.lit(i)), 24)).alias(f"members_{i}") for i in range(2)]
+    groups = branches.groupBy("tree", "level", "prefix").agg(F.count("*").alias("n"), *sums, F.min("node").alias("least")).where("n > 1")
+    groups = groups.groupBy("level", "n", "members_0", "members_1", "least").agg(F.min(F.struct("tree", "prefix")).alias("g")).select("g.tree", "level", "g.prefix", "n")
+    members = written(branches.join(groups, ["tree", "level", "prefix"]), "ngram-members")
 
     wanted = written(members.select("node").distinct().join(nodes, "node"), "ngram-wanted")
     pick = wanted.select("node", F.col("first.key").alias("key"), F.col("first.text_hash").alias("text_hash"))
     few = wanted.count() <= broadcast_nodes
     pick = F.broadcast(pick) if few else pick.hint("merge")
-    texts = docs.join(pick, docs["key"].eqNullSafe(pick["key"]) & (docs["text_hash"] == pick["text_hash"])).select("node", "text")
+    texts = docs.join(pick, docs["key"].eqNullSafe(pick["key"]) & (docs["text_hash"] == pick["text_hash"])).select("node", "text").dropDuplicates(["node"])
     sets = wanted.select("node", "copies", "paths").join(_sets(texts, forest), "node")
 
     own = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / block)).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))))
-    dealt = dealt.select("tree", "prefix", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node")
-    met = dealt.join(sets, "node").repartition(F.col("tree"), F.col("prefix"), F.col("lo"), F.col("hi")).sortWithinPartitions("tree", "prefix", "lo", "hi")
-    threshold = forest.threshold
+    block_id = ["tree", "level", "prefix", "lo", "hi"]
+    dealt = dealt.select("tree", "level", "prefix", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node")
+    met = dealt.join(sets, "node").repartition(*map(F.col, block_id)).sortWithinPartitions(*block_id)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(found: list[tuple]) -> pa.RecordBatch:
@@ -248,22 +320,28 @@ def similar(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text",
             for *block_id, side, node, copies, paths, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block_id != here:
                     if len(rows) > 1:
-                        out += _meet(here[0], here[2] != here[3], rows, threshold)
+                        out += _meet(here[0], here[1], here[3] != here[4], rows, forest)
                     here, rows = block_id, []
                 rows.append((node, copies, paths, values, side))
             yield result(out)
             out = []
         if len(rows) > 1:
-            yield result(_meet(here[0], here[2] != here[3], rows, threshold))
+            yield result(_meet(here[0], here[1], here[3] != here[4], rows, forest))
 
-    links = written(met.select("tree", "prefix", "lo", "hi", "own", "node", "copies", "paths", "shingles").mapInArrow(verify, "a binary, b binary, weight long"), "ngram-links")
+    links = written(met.select(*block_id, "own", "node", "copies", "paths", "shingles").mapInArrow(verify, "a binary, b binary, weight long"), "ngram-links")
     weights = links.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("weight"))
-    roots = components(links.select("a", "b"))
-    of_node = nodes.select("node", "copies", "least_key").join(weights, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = of_node.groupBy("root").agg(F.min("least_key").alias("class_id"))
-    of_node = of_node.join(ids, "root").select("node", "root", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"))
-    out = sketch.select("key", "text_hash", "node").join(of_node, "node", "left")
-    return out.select(F.col("key").alias(key_col), F.coalesce("class_id", "key").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash", F.col("root").alias("class_node"))
+    linked = nodes.select("node", "copies", "least_key").join(weights, "node").join(components(links.select("a", "b")), "node")
+    linked = written(linked, "ngram-linked")
+    ids = linked.groupBy("root").agg(F.min("least_key").alias("class_id"), F.count("*").alias("n"))
+    linked = hot_join(linked, ids, "root", linked.count()).select("node", "root", "class_id", "weight")
+    of_node = nodes.select("node", "copies", "least_key").join(linked, "node", "left")
+    of_node = of_node.select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("least_key")).otherwise(F.col("class_id")).alias("class_id"), F.col("copies").alias("n"), (F.col("copies") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"))
+    of_node = written(of_node, "ngram-of-node")
+    full = hot_join(sketch.where("node is not null").select("key", "text_hash", "node"), of_node, "node", of_node.agg(F.sum("n").alias("n")).first()["n"] or 0)
+    none = sketch.where("node is null").select("key", "text_hash", F.col("key").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("binary").alias("class_node"))
+    full = full.select("key", "text_hash", F.coalesce("class_id", "key").alias("class_id"), F.col("n").alias("n_copies"), F.col("n_links").cast("long").alias("n_links"), F.col("root").alias("class_node"))
+    out = full.unionByName(none)
+    return out.select(F.col("key").alias(key_col), "class_id", "n_copies", "n_links", "text_hash", "class_node")
 
 
 def one_of_each(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", forest: Forest = Forest(), broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
@@ -275,7 +353,8 @@ def one_of_each(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "te
     least = found.where(F.col("class_node").isNotNull() & F.col(key_col).eqNullSafe(F.col("class_id"))).groupBy("class_node").agg(F.min(F.struct(F.col(key_col).alias("k"), "text_hash")).alias("d"))
     rows = found.groupBy(F.col(key_col).alias("_key"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_rows"), F.max("class_node").alias("_node"))
     chosen = least.select(F.col("d.k").alias("_key"), F.col("d.text_hash").alias("_hash"), F.col("class_node").alias("_node"))
-    kept = rows.where("_node is null").select("_key", "_hash", "_rows").unionByName(rows.join(chosen.withColumnRenamed("_key", "_k").withColumnRenamed("_hash", "_h"), ["_node"]).where(F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))).select("_key", "_hash", "_rows"))
+    same = rows["_key"].eqNullSafe(least["d.k"]) & (rows["_hash"] == least["d.text_hash"]) & (rows["_node"] == least["class_node"])
+    kept = rows.where("_node is null").unionByName(rows.join(least, same).select(*rows.columns)).select("_key", "_hash", "_rows")
     kept = written(kept, "ngram-kept")
     few = kept.count() <= broadcast_nodes
     pick = F.broadcast(kept) if few else kept.hint("merge")

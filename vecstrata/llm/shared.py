@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -43,3 +44,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns, under fixed names: extra or clashing ones can't interfere."""
     return df.select(*[df[c].alias(name) for name, c in wanted.items()])
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: int, *, least_hot: int = 512, most_hot: int = 100_000) -> DataFrame:
+    """left joined with right, which has one row per key and in `n` about how many rows of left have it.
+
+    Keys with many of left's `rows` rows are split into parts of their own: the list
+    of these keys is short, for each has at least one part in most_hot of all rows.
+    """
+    most = max(least_hot, -(-2 * rows // most_hot))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / most)).cast("int")
+    hot = right.where(F.col("n") > most).select(key, parts.alias("_parts"))
+    others = [c for c in left.columns if c != key]
+    left = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*(others or [key])), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.join(right, [key, "_part"]).drop("_part")
