@@ -177,6 +177,51 @@ def test_language_id(spark, docs, rows):
     assert language_id.identify(docs.where("false"), model).count() == 0
 
 
+def plain_score(model, text):
+    """The language and score by the definition, one word and one n-gram at a time."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not words or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    sums = []
+    for k in range(len(model.langs)):
+        total = 0.0
+        for w in words:
+            if w in model.words:
+                total += model.words[w][k]
+                continue
+            s, free, seen = f"<{w}>", [True] * (len(w) + 2), []
+            for n in range(model.max_n, 0, -1):
+                i = 0
+                while i + n <= len(s):
+                    if all(free[i : i + n]) and s[i : i + n] in model.grams:
+                        seen.append(model.grams[s[i : i + n]][k])
+                        free[i : i + n] = [False] * n
+                        i += n
+                    else:
+                        i += 1
+            total += sum(seen) / len(seen) if seen else 0.0
+        sums.append(total / len(words))
+    best = max(range(len(sums)), key=lambda k: (sums[k], -k))
+    return model.langs[best], 1 / sum(np.exp((x - sums[best]) * min(model.evidence, len(words))) for x in sums)
+
+
+def test_language_scores_by_the_definition(spark, docs, rows):
+    long = "wort" * 100
+    model = language_id.fit(docs.select("text", "lang").union(spark.createDataFrame([(f"{long} {long}x", "de")], "text string, lang string")), max_words=150, max_grams=400)
+    # n-grams of words of any length are learned, each as often as it occurs
+    want = collections.Counter()
+    for _, t, lang in {(None, t, lang) for _, t, lang in rows if t and lang == "de"} | {(None, f"{long} {long}x", "de")}:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            want.update(f"<{w}>"[i : i + n] for n in range(1, 5) for i in range(len(w) + 3 - n))
+    learned = language_id.fit(docs.select("text", "lang").union(spark.createDataFrame([(f"{long} {long}x", "de")], "text string, lang string")).where("lang = 'de'"), max_grams=10**6)
+    total = sum(want.values()) + 0.5 * len(want)
+    assert set(learned.grams) == set(want) and all(v == (pytest.approx(np.log((want[g] + 0.5) / total)),) for g, v in learned.grams.items())
+    got = language_id.identify(docs, model).select("text", "lang_pred", "score").collect()
+    for r in got:
+        lang, score = plain_score(model, r["text"])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score)
+
+
 def test_language_scores_are_bounded_in_memory(monkeypatch):
     model = language_id.Model(["a", "b"], words={f"w{chr(97 + i)}": (float(-i), float(i - 30)) for i in range(26)})
     text = " ".join(f"w{chr(97 + i % 26)}" for i in range(300))
@@ -332,6 +377,39 @@ def test_fingerprints(spark, docs, rows):
     assert alone[0]["near_next"] == 1.0 and fingerprints.compare(docs.where("false")).count() == 0
 
 
+def test_fingerprints_by_plain_python(spark):
+    """Every output of the query, from texts alone: only the hash of a gram is taken from Spark."""
+    import regex
+
+    base = [f"t{i % 37}x" for i in range(300)]
+    cases = [" ".join(base), " ".join(base[:250] + ["new"] * 30), "", None, "one", "Zwei Wörter", "a b c d e f g", "x" * 100 + "!?" * 20, " ".join(base), "tie " * 50]
+    rows = [(i * 2, t) for i, t in enumerate(cases)]
+    edited = [(t or "")[: len(t or "") - len(t or "") // 4] + (cases[(i + 1) % len(cases)] or "")[: len(t or "") // 4] for i, t in enumerate(cases)]
+    tokens = lambda t: regex.findall(fingerprints.TOKENS, t.lower())
+    grams = lambda t: [tuple(tokens(t)[i : i + 3]) for i in range(max(1, len(tokens(t)) - 2))] if tokens(t) else []
+    seen = sorted({g for t in [*cases, *edited] for g in grams(t or "")})
+    made = spark.createDataFrame([(i, *g, *[None] * (3 - len(g))) for i, g in enumerate(seen)], "i int, a string, b string, c string")
+    value = {seen[r["i"]]: (r["h"] % 2**64) >> 28 for r in made.select("i", F.xxhash64("a", "b", "c").alias("h")).collect()}
+
+    def kept(text):
+        g = [value[x] for x in grams(text)]
+        windows = [range(i, min(i + 4, len(g))) for i in range(max(1, len(g) - 3))] if g else []
+        places = sorted({min(w, key=lambda p: (g[p], -p)) for w in windows})
+        return [(g[p] << 27) | (2**27 - 1 - p) for p in places], [g[p] for p in places]
+
+    def like(a, b):
+        a, b = collections.Counter(kept(a)[1]), collections.Counter(kept(b)[1])
+        return sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
+
+    digest = lambda t: hashlib.sha256(",".join(map(str, kept(t)[0])).encode()).hexdigest()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = fingerprints.compare(df).withColumns({"f": fingerprints.digest(F.col("entries")), "e": fingerprints.digest(F.col("edited_entries"))}).orderBy("doc_id").collect()
+    for i, r in enumerate(got):
+        t, nxt = cases[i] or "", cases[(i + 1) % len(cases)] or ""
+        assert (r["doc_id"], r["n_chars"], r["edited_sha256"], r["f"], r["e"]) == (i * 2, len(t), hashlib.sha256(edited[i].encode()).hexdigest(), digest(t), digest(edited[i]))
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(like(t, edited[i])), pytest.approx(like(t, nxt)))
+
+
 def test_likeness(spark):
     r = np.random.default_rng(4)
     bags = [sorted(r.integers(0, 6, n).tolist()) for n in (0, 1, 5, 9, 20, 20)]
@@ -364,6 +442,22 @@ def test_sharding(docs, rows, parts):
     assert sharding.shard(docs.where("false")).count() == 0
 
 
+def test_shards_and_slots_by_plain_python(spark, docs, rows):
+    """Shard and slot of every row, from the rows' two keys and the matrix alone."""
+    parts, seed = 5, 7
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("t"), F.xxhash64("doc_id", text, F.lit(seed)).alias("a"), F.xxhash64(F.lit(seed), text, "doc_id", F.lit("second")).alias("b")).collect()
+    by_part = [sorted((r["a"], r["b"], str(r["doc_id"]), r["t"]) for r in keyed if r["a"] % parts == p) for p in range(parts)]
+    matrix = sharding.communication_matrix([len(x) for x in by_part], 6, seed)
+    shards = [[] for _ in range(6)]
+    for own, sent in zip(by_part, matrix, strict=True):
+        for s, n in enumerate(sent):
+            shards[s], own = shards[s] + own[:n], own[n:]
+    want = collections.Counter((i, zlib.crc32(t.encode()), s, slot) for s, x in enumerate(shards) for slot, (_, i, t) in enumerate(sorted((b, i, t) for _, b, i, t in x)))
+    got = collections.Counter((str(r["doc_id"]), r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard(docs, shards=6, seed=seed, parts=parts).collect())
+    assert got == want
+
+
 def test_matrix_is_exact_and_uniform():
     counts = [5, 0, 17, 40, 1]
     found = np.array([sharding.communication_matrix(counts, 4, s) for s in range(400)])

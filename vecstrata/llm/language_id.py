@@ -10,7 +10,8 @@ wins; the score is its share of the posterior with `evidence` words at most.
 The model is fitted on a bounded sample: about `sample_rows` labelled rows per
 language, chosen by a hash of their content, `max_words` words and `max_grams`
 n-grams per language. Counting runs on the executors; only the bounded model
-reaches the driver. Every text is then scored whole.
+reaches the driver. Every text is then scored whole. Words are runs of letters
+(number letters such as Roman numerals included) of any length, in fitting and scoring.
 
 Defined results: null and letterless texts are `und` with score 0, and so are
 all texts if nothing could be learned; ties go to the first language by name;
@@ -21,21 +22,26 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 UNDETERMINED = "und"
 SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS, MAX_N = 3000, 20_000, 20_000, 4
 #: Words whose scores a worker remembers; bounds its memory.
 REMEMBERED = 150_000
 _WORDS = re.compile(r"[^\W\d_]+")
-_LETTERS = r"[\p{L}]+"
+_LETTERS = r"[\p{L}\p{Nl}\p{No}]+"  # the same runs in Java
+#: Letters of a word whose n-grams are listed at once.
+STRETCH = 64
 
 
 @dataclass
@@ -45,6 +51,7 @@ class Model:
     evidence: float = 50.0
     words: dict[str, tuple[float, ...]] = field(default_factory=dict)
     grams: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def word(self, w: str) -> tuple[float, ...]:
         """Log-frequency scores of one word in each language."""
@@ -108,6 +115,17 @@ class Scorer:
         return self.model.langs[best], float(p[best] / p.sum())
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer(model: Model) -> Scorer:
+    """This worker's scorer of a model; it remembers words from task to task."""
+    if model.name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.name] = Scorer(model)
+    return _SCORERS[model.name]
+
+
 def _table(counts: DataFrame, langs: list[str], key: str) -> dict[str, tuple[float, ...]]:
     """Log frequencies per language of the counted keys, smoothed by a half."""
     rows = counts.collect()  # bounded: the most frequent keys of each language
@@ -131,12 +149,21 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", samp
     draw = (F.xxhash64("text", F.lit("sample")).cast("double") / 2.0**64) + 0.5
     sample = known.where(draw <= share[F.col("lang")]).distinct()
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = written(words, "language-words")  # bounded like the sample; counted once for both tables
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     kept = words.where("n > 1").withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_words)
     bordered = words.select("lang", "n", F.concat(F.lit("<"), "word", F.lit(">")).alias("w"))
-    each = [F.transform(F.sequence(F.lit(1), F.length("w") - (n - 1)), lambda i, n=n: F.col("w").substr(i, F.lit(n))) for n in range(1, max_n + 1)]
-    each = [F.when(F.length("w") >= n, e).otherwise(F.array().cast("array<string>")) for n, e in enumerate(each, 1)]
-    grams = bordered.where("length(w) <= 66").select("lang", "n", F.explode(F.concat(*each)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # long words in stretches that overlap, so that every n-gram begins in one of them
+    begin = F.explode(F.sequence(F.lit(0), F.floor((F.length("w") - 1) / STRETCH).cast("int")))
+    stretches = bordered.select("lang", "n", "w", begin.alias("i")).select("lang", "n", F.expr(f"substr(w, i * {STRETCH} + 1, {STRETCH + max_n - 1})").alias("w"))
+
+    def of_length(n: int) -> Column:
+        at = F.sequence(F.lit(1), F.least(F.lit(STRETCH), F.length("w") - (n - 1)))
+        found = F.transform(at, lambda i: F.col("w").substr(i, F.lit(n)))
+        return F.when(F.length("w") >= n, found).otherwise(F.array().cast("array<string>"))
+
+    each = [of_length(n) for n in range(1, max_n + 1)]
+    grams = stretches.select("lang", "n", F.explode(F.concat(*each)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = grams.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_grams)
     return Model(langs, max_n, words=_table(kept, langs, "word"), grams=_table(best, langs, "gram"))
@@ -149,9 +176,9 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", lang_out:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        predict = scorer(shared.value).predict
         for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch.column(at)]
+            found = [predict(t.as_py()) for t in batch.column(at)]
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, lang_out, score_out])
 

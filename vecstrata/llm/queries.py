@@ -11,7 +11,7 @@ from . import decontaminate as dec
 from . import packed_ids
 from . import fingerprints, language_id, licenses, ngram_join, sharding, token_counts, unigram, warc
 from . import sentencepiece_codec as codec
-from .shared import columns, new_path
+from .shared import columns, new_path, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +25,11 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar(table(spark, sf_dir, "documents")).drop("text_hash", "class_node")
+    return ngram_join.similar(spread(table(spark, sf_dir, "documents"))).drop("text_hash", "class_node")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    docs = spread(columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text"))
     return token_counts.token_counts(docs, unigram.load_pieces(tokenizer_path("piece_bpe_32k.model")))
 
 
@@ -39,12 +39,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    docs = spread(columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text"))
     return codec.round_trips(docs, unigram.load_pieces(tokenizer_path("piece_bpe_32k.model")))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang")
+    docs = spread(columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang"))
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
     model = language_id.fit(docs.where(~F.col("held_out")))
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
@@ -75,7 +75,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    docs = spread(columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text"))
     return dec.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 

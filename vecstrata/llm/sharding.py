@@ -13,9 +13,14 @@ a second key, and a row's place there is its slot. A shard is sorted in
 Only keys and numbers are shuffled, not the texts. The matrix has parts * shards
 entries, whatever the number of rows.
 
-Law `rows`: shards' row counts differ by one at most. Defined results: a null
-text counts as empty; a null key is a key like others; equal rows get different
-slots; an empty table gives no rows. Columns besides key and text are not read.
+Law `rows`: shards' row counts differ by one at most. It is the one law that holds:
+a document's shard depends on no other's text, so documents of equal texts (groups)
+are spread over shards like any others; `text_crc32` tells them.
+
+Defined results: a null text counts as empty; a null key is a key like others; rows
+equal in key and text can't be told apart, get different slots, and may stand next
+to each other in a shard; an empty table gives no rows. Columns besides key and text
+are not read.
 """
 
 from __future__ import annotations

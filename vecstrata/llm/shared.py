@@ -41,6 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table just read, in as many partitions as there are cores at least: few or single-group files don't fill them."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns, under fixed names: extra or clashing ones can't interfere."""
     return df.select(*[df[c].alias(name) for name, c in wanted.items()])
