@@ -245,7 +245,7 @@ def test_warc(spark, tmp_path, split):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", split)
-        got = warc.read_warc(spark, f"{tmp_path}/w", keep_payload=True).collect()
+        got = warc.read_warc(spark, f"{tmp_path}/w", keep_payload=True, block=300 if split == "5000" else warc.BLOCK).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     first = {}
@@ -289,6 +289,27 @@ def test_warc_broken_chain(spark, tmp_path, broken):
         warc.read_warc(spark, f"{tmp_path}/bad").count()
 
 
+@pytest.mark.parametrize("block", [warc.BLOCK, 100])
+def test_warc_damage_is_reported(spark, tmp_path, block):
+    """A header without a length, a wrong length, a truncated end and a broken first record: the others come back."""
+    record = lambda i, size=None: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\nContent-Length: {len(f'text {i}') if size is None else size}\r\n\r\ntext {i}\r\n\r\n"
+    parts = [record(i) for i in range(12)]
+    parts[3] = parts[3].replace("Content-Length", "Content-Size")
+    parts[6], parts[8] = record(6, 9999), record(8, 3)
+    parts[11] = parts[11][:-8]
+    (tmp_path / "a").write_text("".join(parts), newline="")
+    (tmp_path / "b").write_text("WARC/1.1\r\nno length\r\n\r\n" + record(20) + record(21), newline="")
+    (tmp_path / "c").write_text(record(30) + record(31), newline="")
+    with pytest.raises(ValueError, match="no record begins at"):
+        warc.read_warc(spark, str(tmp_path))
+    got = warc.read_warc(spark, str(tmp_path), damaged="report", keep_payload=True, block=block).collect()
+    good = {(r["record_id"], bytes(r["payload"]).decode()) for r in got if r["record_type"] == "response"}
+    assert good == {(f"<{i}>", f"text {i}") for i in (0, 1, 2, 4, 5, 7, 9, 10, 20, 21, 30, 31)}
+    at = np.cumsum([0, *map(len, parts)]).tolist()
+    want = {("a", at[i], len(parts[i])) for i in (3, 6, 8, 11)} | {("b", 0, len("WARC/1.1\r\nno length\r\n\r\n"))}
+    assert {(r["file"][-1], r["offset"], r["payload_bytes"]) for r in got if r["record_type"] == "damaged"} == want and len(got) == 12 + 5
+
+
 def test_warc_magic_in_written_fields(spark, tmp_path):
     fields = [("a", "http://a/WARC/1.1"), ("WARC/1.0\r\n", "WARC/1.WARC/1."), ("c", "http://c"), ("d", "http://d/WARC/1.1\r\n\r\nWARC/1.0\r\n"), ("e", "http://e")]
     same = "same text " * 20

@@ -8,12 +8,20 @@ short HTTP header and the payload.
 
 Reading (boundary-chain verification): the text reader cuts archives of any
 size at the magic "WARC/1.", in as many tasks as there are splits. Every cut is
-a candidate record; its header gives the offset of its successor. Candidates
-that follow each other without a gap form a run; pointer jumping from the
-file's start over the runs' exits keeps the reachable records, so magic inside a
-payload is no record. Payloads that hold magic span several cuts and are put
-together again, and so are headers with magic in their fields, which archives
-written here don't have: it is escaped, as line ends are. Payloads don't move between tasks unless they are asked for.
+a candidate record; its header gives the offset of its successor. Offsets are
+added up within splits, and then only the splits' sums within files. Candidates
+that follow each other without a gap inside a block of the file form a run; pointer
+jumping from the file's start over the runs' exits keeps the reachable records, so
+magic inside a payload is no record. Payloads that hold magic span several cuts and
+are put together again, and so are headers with magic in their fields, which archives
+written here don't have: it is escaped, as line ends are. Payloads don't move between
+tasks unless they are asked for or hold magic.
+
+Damage: where the chain of a file that begins with magic breaks before the file's
+end, reading is an error, or (damaged="report") goes on at the next candidate after
+the damage; each damaged stretch is a row of record_type `damaged` with its file,
+offset and, in payload_bytes, its length. A record whose announced end is neither
+magic nor the file's end, such as a truncated last one, is part of the stretch.
 
 Defined results: a null payload is empty; rows that repeat the smallest id of
 equal payloads are all responses; a page with a null id is a response, and its
@@ -33,6 +41,8 @@ END = "\r\n"
 LEAST_REVISIT = 100
 #: Groups of equal payloads up to which their list is sent to all tasks (about 100 bytes each).
 BROADCAST_GROUPS = 200_000
+#: Bytes of a file whose records stand next to each other in a window.
+BLOCK = 256 << 20
 
 
 def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = LEAST_REVISIT, date: str = "2000-01-01T00:00:00Z", broadcast_groups: int = BROADCAST_GROUPS) -> None:
@@ -118,62 +128,125 @@ def _parsed(lines: DataFrame, keep_payload: bool) -> DataFrame:
 FIELDS = ["record_type", "record_id", "url", "refers_to", "payload_bytes", "payload_digest"]
 
 
-def read_warc(spark: SparkSession, path: str, *, keep_payload: bool = False) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, *, keep_payload: bool = False, damaged: str = "raise", block: int = BLOCK) -> DataFrame:
     """FIELDS (and payload as binary) of each record, with its file and offset.
 
     payload_bytes and payload_digest (SHA-256) come from the payload as read;
     for revisits, which have none, from their headers.
     """
+    if damaged not in ("raise", "report"):
+        raise ValueError(f"damaged must be raise or report, not {damaged!r}")
     lines = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
-    in_file = Window.partitionBy("file").orderBy("split", "at")
-    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    cuts = _parsed(lines, False).withColumn("offset", F.sum(F.col("length") + len(MAGIC)).over(before) - len(MAGIC))
-    cuts = _long_headers(cuts).withColumn("next", F.col("offset") + len(MAGIC) + F.col("span") + len(END + END))
-    cuts = written(cuts, "warc-cuts")  # headers and offsets, no payloads
-
-    of_file = Window.partitionBy("file").orderBy("offset")
-    found = cuts.where("next is not null and offset >= 0").withColumn("gap", (F.col("next") != F.lead("offset").over(of_file)).cast("int"))
-    found = found.withColumn("run", F.coalesce(F.sum("gap").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    found = written(found.drop("gap"), "warc-candidates")
-    entered = _entered(found)
-    true = found.join(entered, ["file", "run"]).where("offset >= entry").drop("run", "entry", "split", "at")
-    _check_ends(cuts, true)
-
-    parts = true.where(~F.col("whole")).select("file", "offset", "next")
-    if not parts.isEmpty():
-        true = true.where("whole").select("file", "offset", *FIELDS).unionByName(_together(lines, cuts, true, parts).select("file", "offset", *FIELDS))
-    true = true.select("file", "offset", *FIELDS)
+    cuts = written(_in_split(_parsed(lines, False)), "warc-cuts")  # headers and lengths, no payloads
+    base = written(_bases(cuts), "warc-splits")
+    cuts = _long_headers(_placed(cuts, base)).withColumn("next", F.col("offset") + len(MAGIC) + F.col("span") + len(END + END))
+    cuts = cuts.withColumn("block", F.floor(F.greatest("offset", F.lit(0)) / block))
+
+    in_block = Window.partitionBy("file", "block").orderBy("offset")
+    found = cuts.where("next is not null and offset >= 0").withColumn("gap", (F.col("next") != F.lead("offset").over(in_block)).cast("int"))
+    run = F.coalesce(F.sum("gap").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = written(found.withColumn("run", F.shiftleft("block", 32) + run).drop("gap"), "warc-candidates")
+    exits = found.groupBy("file", "run").agg(F.max("next").alias("exit"), F.max("offset").alias("last"))
+    jump = exits.join(found.select("file", F.col("offset").alias("exit"), F.col("run").alias("to"), F.col("offset").alias("entry")), ["file", "exit"]).select("file", "run", "to", "entry")
+    start = found.where("offset = 0").select("file", "run", F.col("offset").alias("entry"))
+    true = found.join(_entered(jump, start), ["file", "run"]).where("offset >= entry").drop("run", "entry")
+    short = written(_unread(cuts, true), "warc-unread")
+    stretches = None
+    if not short.isEmpty():
+        if damaged == "raise":
+            r = short.orderBy("file").first()
+            raise ValueError(f"no record begins at {r['reached']} of {r['file']}, which has {r['end']} bytes")
+        true, stretches = _resumed(cuts, found, exits, jump, start, short)
+    true = written(true.select("file", "offset", "next", "block", "whole", *FIELDS), "warc-records")
+
+    parts = written(true.where(~F.col("whole")).select("file", "offset", "next"), "warc-parts")
+    texts = None if parts.isEmpty() else _whole_texts(lines, base, cuts, parts, block)
+    out = true.where("whole").select("file", "offset", *FIELDS)
+    if texts is not None:
+        out = out.unionByName(_parsed(texts, False).select("file", "offset", *FIELDS))
     if keep_payload:
-        true = true.join(_payloads(lines, cuts, true, parts), ["file", "offset"], "left")
-    return true
+        here = _parsed(_placed(_in_split(lines.withColumn("length", F.octet_length("value").cast("long"))), base), True).where("whole")
+        payloads = here.select("file", "offset", "payload")
+        if texts is not None:
+            payloads = payloads.unionByName(_parsed(texts, True).select("file", "offset", "payload"))
+        out = out.join(payloads, ["file", "offset"], "left")
+    return out if stretches is None else out.unionByName(stretches, allowMissingColumns=True)
+
+
+def _in_split(cuts: DataFrame) -> DataFrame:
+    """cuts with the bytes from their split's first cut to their own; `at` gives the order."""
+    before = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return cuts.withColumn("before", F.coalesce(F.sum(F.col("length") + len(MAGIC)).over(before), F.lit(0))).drop("at")
+
+
+def _bases(cuts: DataFrame) -> DataFrame:
+    """file, split, base: where the first cut of each split begins, magic included."""
+    sums = cuts.groupBy("file", "split").agg(F.max(F.col("before") + F.col("length") + len(MAGIC)).alias("bytes"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("file", "split", (F.coalesce(F.sum("bytes").over(before), F.lit(0)) - len(MAGIC)).alias("base"))
+
+
+def _placed(cuts: DataFrame, base: DataFrame) -> DataFrame:
+    """cuts with their offset in the file, which no other read of it changes.
+
+    Another read may split files elsewhere, if the session has other cores by then; that is an error.
+    """
+    other = F.raise_error(F.lit("the archives were split otherwise when they were read again"))
+    placed = cuts.join(base, ["file", "split"], "left").withColumn("offset", F.col("base") + F.col("before"))
+    return placed.withColumn("offset", F.when(F.col("base").isNull(), other.cast("long")).otherwise(F.col("offset"))).drop("split", "before", "base")
 
 
 def _long_headers(cuts: DataFrame) -> DataFrame:
     """cuts, with size and span also where the header goes on in the next cuts, up to an empty line."""
-    onward = Window.partitionBy("file").orderBy(F.desc("split"), F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    files = cuts.where("begins and stop is null").select("file").distinct()
+    spare = ["begins", "stop", "told"]
+    if files.isEmpty():
+        return cuts.drop(*spare)
+    rest, cuts = cuts.join(files, "file", "left_anti").drop(*spare), cuts.join(files, "file", "left_semi")
+    onward = Window.partitionBy("file").orderBy(F.desc("offset")).rowsBetween(Window.unboundedPreceding, 0)
     stop = F.last(F.when(F.col("stop").isNotNull(), F.col("offset") + len(MAGIC) + F.col("stop")), ignorenulls=True).over(onward)
     told = F.last(F.when(F.col("told").isNotNull() | F.col("stop").isNotNull(), F.struct("told")), ignorenulls=True).over(onward)["told"]
     cuts = cuts.withColumn("_stop", stop).withColumn("_told", told)
     open_end = F.col("begins") & F.col("stop").isNull()
     span = F.col("_stop") - F.col("offset") - len(MAGIC) + len(END + END) + F.col("_told")
     cuts = cuts.withColumn("size", F.when(open_end, F.col("_told")).otherwise(F.col("size"))).withColumn("span", F.when(open_end, span).otherwise(F.col("span")))
-    return cuts.withColumn("whole", F.col("span") <= F.col("length")).drop("begins", "stop", "told", "_stop", "_told")
+    return cuts.withColumn("whole", F.col("span") <= F.col("length")).drop(*spare, "_stop", "_told").unionByName(rest)
 
 
-def _check_ends(cuts: DataFrame, true: DataFrame) -> None:
-    """An error if the records of a file that begins with magic end before the file does."""
+def _unread(cuts: DataFrame, true: DataFrame) -> DataFrame:
+    """file, reached, end: files that begin with magic whose records end elsewhere than the file does."""
     files = cuts.groupBy("file").agg(F.max(F.col("offset") + len(MAGIC) + F.col("length")).alias("end"), F.max((F.col("offset") == 0).cast("int")).alias("begins"))
     last = true.groupBy("file").agg(F.max("next").alias("reached"))
-    short = files.where("begins = 1").join(last, "file", "left").withColumn("reached", F.coalesce("reached", F.lit(0))).where("reached < end")
-    for r in short.orderBy("file").take(1):
-        raise ValueError(f"no record begins at {r['reached']} of {r['file']}, which has {r['end']} bytes")
-
-
-def _entered(found: DataFrame) -> DataFrame:
+    return files.where("begins = 1").join(last, "file", "left").select("file", F.coalesce("reached", F.lit(0)).alias("reached"), "end").where("reached <> end")
+
+
+def _resumed(cuts: DataFrame, found: DataFrame, exits: DataFrame, jump: DataFrame, start: DataFrame, short: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records and damaged stretches, where chains that break go on at the next candidate after the damage."""
+    ends = short.select("file", "end")
+    magic = cuts.select("file", F.col("offset").alias("exit"), F.lit(True).alias("at_magic"))
+    heads = found.select("file", F.col("offset").alias("exit"), F.lit(True).alias("at_head"))
+    broken = exits.join(ends, "file").where("exit <> end").join(heads, ["file", "exit"], "left_anti").join(magic, ["file", "exit"], "left")
+    broken = broken.select("file", "run", F.when(F.col("at_magic"), F.col("exit")).otherwise(F.col("last")).alias("from"))
+    first = ends.join(found.where("offset = 0"), "file", "left_anti").select("file", F.lit(-1).cast("long").alias("run"), F.lit(0).cast("long").alias("from"))
+    broken = broken.unionByName(first)
+    # in the damaged files only: the next candidate after each place
+    both = found.join(ends, "file", "left_semi").select("file", F.col("offset").alias("from"), F.lit(None).cast("long").alias("run"), F.struct(F.col("run").alias("to"), F.col("offset").alias("entry")).alias("head"))
+    both = both.unionByName(broken.withColumn("head", F.lit(None).cast("struct<to:bigint,entry:bigint>")))
+    after = Window.partitionBy("file").orderBy(F.desc("from"), F.col("run").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    broken = both.withColumn("head", F.last("head", ignorenulls=True).over(after)).where("run is not null")
+    broken = written(broken.select("file", "run", "from", "head.to", "head.entry"), "warc-broken")
+    jump = jump.unionByName(broken.where("to is not null").select("file", "run", "to", "entry"))
+    start = start.unionByName(broken.where("run = -1 and to is not null").select("file", F.col("to").alias("run"), "entry"))
+    entered = written(_entered(jump, start).groupBy("file", "run").agg(F.min("entry").alias("entry")), "warc-entered")
+    true = found.join(entered, ["file", "run"]).where("offset >= entry").drop("entry")
+    bad = broken.join(entered.select("file", "run").unionByName(first.select("file", "run")), ["file", "run"])
+    true = true.join(bad.select("file", "run", F.col("from").alias("offset")), ["file", "run", "offset"], "left_anti").drop("run")
+    stretch = bad.join(ends, "file").select("file", F.col("from").alias("offset"), F.lit("damaged").alias("record_type"), *[F.lit(None).cast("string").alias(c) for c in ("record_id", "url", "refers_to")], (F.coalesce("entry", "end") - F.col("from")).alias("payload_bytes"), F.lit(None).cast("string").alias("payload_digest"))
+    return true, stretch
+
+
+def _entered(jump: DataFrame, reached: DataFrame) -> DataFrame:
     """file, run, entry: the runs reached from each file's start and where they are entered."""
-    exits = found.groupBy("file", "run").agg(F.max("next").alias("exit"))
-    jump = exits.join(found.select("file", F.col("offset").alias("exit"), F.col("run").alias("to"), F.col("offset").alias("entry")), ["file", "exit"]).select("file", "run", "to", "entry")
-    reached = found.where("offset = 0").select("file", "run", F.col("offset").alias("entry"))
     if jump.isEmpty():
         return reached
     jump, reached = written(jump, "warc-jump"), written(reached, "warc-reached")
@@ -189,29 +262,19 @@ def _entered(found: DataFrame) -> DataFrame:
         jump = written(jump.join(onward, ["file", "to"]).select("file", "run", F.col("last").alias("to"), F.col("last_entry").alias("entry")), "warc-jump")
 
 
-def _owned(cuts: DataFrame, parts: DataFrame) -> DataFrame:
-    """The cuts that make up each of the records parts."""
-    begin = parts.select("file", "offset", F.col("next").alias("until"))
-    order = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    marked = cuts.join(begin, ["file", "offset"], "left").withColumn("owner", F.last(F.when(F.col("until").isNotNull(), F.col("offset")), ignorenulls=True).over(order)).withColumn("end", F.last("until", ignorenulls=True).over(order))
-    return marked.where("offset < end").select("file", "split", "at", F.col("offset").alias("cut"), "owner", "end")
+def _owned(cuts: DataFrame, parts: DataFrame, block: int) -> DataFrame:
+    """The cuts that make up each of the records parts: file, offset of the cut, owner, end."""
+    begins = parts.withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("next") - 1) / block))))
+    begins = begins.select("file", "block", F.greatest("offset", F.col("block") * block).alias("offset"), F.lit(0).alias("is_cut"), F.col("offset").alias("owner"), F.col("next").alias("end"))
+    rows = cuts.join(parts.select("file").distinct(), "file", "left_semi").select("file", "block", "offset", F.lit(1).alias("is_cut"), F.lit(None).cast("long").alias("owner"), F.lit(None).cast("long").alias("end"))
+    order = Window.partitionBy("file", "block").orderBy("offset", "is_cut").rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.unionByName(begins).withColumn("owner", F.last("owner", ignorenulls=True).over(order)).withColumn("end", F.last("end", ignorenulls=True).over(order))
+    return marked.where("is_cut = 1 and offset < end").select("file", "offset", "owner", "end")
 
 
-def _whole_texts(lines: DataFrame, cuts: DataFrame, parts: DataFrame) -> DataFrame:
+def _whole_texts(lines: DataFrame, base: DataFrame, cuts: DataFrame, parts: DataFrame, block: int) -> DataFrame:
     """The records parts as one text each, from the cuts that they span."""
-    own = _owned(cuts, parts)
-    texts = lines.join(own, ["file", "split", "at"]).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("cut", "value"))).alias("cuts"), F.max("end").alias("end"))
-    return texts.select("file", F.col("owner").alias("offset"), "end", F.array_join(F.col("cuts.value"), MAGIC).alias("value"))
-
-
-def _together(lines: DataFrame, cuts: DataFrame, true: DataFrame, parts: DataFrame) -> DataFrame:
-    read = _parsed(_whole_texts(lines, cuts, parts), False)
-    cut_off = F.raise_error(F.concat(F.lit("the archive ends inside the record at "), F.col("offset").cast("string"), F.lit(" of "), F.col("file")))
-    return read.withColumn("record_type", F.when(F.col("whole"), F.col("record_type")).otherwise(cut_off.cast("string")))
-
-
-def _payloads(lines: DataFrame, cuts: DataFrame, true: DataFrame, parts: DataFrame) -> DataFrame:
-    """file, offset, payload of all records that have one."""
-    here = lines.join(cuts.select("file", "split", "at", "offset"), ["file", "split", "at"])
-    whole = _parsed(here, True).where("whole").select("file", "offset", "payload")
-    return whole.unionByName(_parsed(_whole_texts(lines, cuts, parts), True).select("file", "offset", "payload"))
+    mine = lines.join(parts.select("file").distinct(), "file", "left_semi").withColumn("length", F.octet_length("value").cast("long"))
+    texts = _placed(_in_split(mine), base).join(_owned(cuts, parts, block), ["file", "offset"])
+    texts = texts.groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("cuts"))
+    return texts.select("file", F.col("owner").alias("offset"), F.array_join(F.col("cuts.value"), MAGIC).alias("value"))
