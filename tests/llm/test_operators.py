@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,24 @@ def test_licenses(spark, docs):
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     assert [r["licenses"] for r in licenses.scan(df).orderBy("doc_id").collect()] == [w for _, w in cases]
+    apache = "Copyright 2020 A\n\n" + s["apache-notice"][0].replace("; ", ";\n") + ".\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + s["apache-warranty"][0].replace("software ", "software\n") + ".\nSee the License for more."
+    hashed = "\n".join(f"# {x}".rstrip() for x in apache.split("\n"))
+    zlib_ = ".\n\n".join(s[n][0] for n in ("zlib-warranty", "zlib-damages", "zlib-grant"))
+    more = [
+        (wrapped, "MIT", 1, "<mit-grant><mit-notice><mit-warranty><mit-liability>"), (apache, "Apache-2.0", 1, "<apache-notice><apache-at><apache-url><apache-warranty>"), (hashed, "Apache-2.0", 1, "<apache-notice><apache-at><apache-url><apache-warranty>"),
+        ("Copyright (c) 2020, A. All rights reserved.\n\n" + bsd, "BSD-2-Clause", 1, None), ("// SPDX-License-Identifier: Apache-2.0 OR MIT", "Apache-2.0,MIT", 2, "<spdx-apache-2.0><spdx-mit>"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later", 1, None), ("SPDX-License-Identifier: LGPL-2.1-or-later AND (MIT OR Zlib)", "LGPL-2.1-or-later,MIT,Zlib", 3, None),
+        ("This project is licensed under the terms of the MIT license.", "MIT", 1, "<mit-short>"), (zlib_, "Zlib", 1, None), ("All rights reserved", "LicenseRef-all-rights-reserved", 1, "<all-rights>"), (s["agpl3-later"][0].replace(" ", "\n", 9) + ".", "AGPL-3.0-or-later", 1, None),
+    ]
+    told = licenses.scan(spark.createDataFrame([(i, x[0]) for i, x in enumerate(more)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["licenses"], r["n_rules"], x[3] and r["sentence_ids"]) for r, x in zip(told, more, strict=True)] == [x[1:] for x in more]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, x[0]) for i, x in enumerate([*more, *cases])])
+    asked = con.execute(f"SELECT doc_id, licenses, n_rules, sentence_ids FROM ({licenses.oracle_sql()}) ORDER BY doc_id").fetchall()
+    every = licenses.scan(spark.createDataFrame([(i, x[0]) for i, x in enumerate([*more, *cases])], "doc_id long, text string")).orderBy("doc_id")
+    assert [tuple(r) for r in every.select("doc_id", "licenses", "n_rules", "sentence_ids").collect()] == asked
+    with pytest.raises(ValueError, match="one sentence"):
+        licenses.scan(df, known={"a": ["First. Second."]}, rules=[(("a",), "X")])
     own = licenses.scan(df, known={"a": ["Text"], "b": ["released under the mit license"]}, rules=[(("a", "b", "a"), "X")])
     assert [r["licenses"] for r in own.orderBy("doc_id").collect()][8] == "X"
     assert licenses.scan(df.where("false")).count() == 0
