@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import worker_state, written
 
 UNDETERMINED = "und"
 SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS, MAX_N = 3000, 20_000, 20_000, 4
@@ -115,15 +115,9 @@ class Scorer:
         return self.model.langs[best], float(p[best] / p.sum())
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
     """This worker's scorer of a model; it remembers words from task to task."""
-    if model.name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.name] = Scorer(model)
-    return _SCORERS[model.name]
+    return worker_state(f"language-{model.name}", lambda: Scorer(model))
 
 
 def _table(counts: DataFrame, langs: list[str], key: str) -> dict[str, tuple[float, ...]]:
@@ -151,7 +145,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", samp
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     words = written(words, "language-words")  # bounded like the sample; counted once for both tables
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    kept = words.where("n > 1").withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_words)
+    known_words = words.where("n > 1").withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_words)
     bordered = words.select("lang", "n", F.concat(F.lit("<"), "word", F.lit(">")).alias("w"))
     # long words in stretches that overlap, so that every n-gram begins in one of them
     begin = F.explode(F.sequence(F.lit(0), F.floor((F.length("w") - 1) / STRETCH).cast("int")))
@@ -166,7 +160,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", samp
     grams = stretches.select("lang", "n", F.explode(F.concat(*each)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = grams.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_grams)
-    return Model(langs, max_n, words=_table(kept, langs, "word"), grams=_table(best, langs, "gram"))
+    return Model(langs, max_n, words=_table(known_words, langs, "word"), grams=_table(best, langs, "gram"))
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .decontaminate import slices
-from .shared import hot_join, written
+from .shared import hot_join, worker_state, written
 from .words import U64, grams, mix, owners, word_hashes
 
 #: Candidate nodes up to which their list is sent to all tasks (about 40 bytes each).
@@ -165,6 +165,7 @@ def _sketch(docs: DataFrame, forest: Forest) -> DataFrame:
     """key, text_hash, node (null without words), size of its set, and paths of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("ngrams", dict)  # nothing of another operator stays in the worker
         for batch in batches:
             for first, part in slices(batch.column(2).to_pylist()):
                 values, bounds = shingles(part, forest.words)
@@ -354,9 +355,9 @@ def one_of_each(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "te
     rows = found.groupBy(F.col(key_col).alias("_key"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_rows"), F.max("class_node").alias("_node"))
     chosen = least.select(F.col("d.k").alias("_key"), F.col("d.text_hash").alias("_hash"), F.col("class_node").alias("_node"))
     same = rows["_key"].eqNullSafe(least["d.k"]) & (rows["_hash"] == least["d.text_hash"]) & (rows["_node"] == least["class_node"])
-    kept = rows.where("_node is null").unionByName(rows.join(least, same).select(*rows.columns)).select("_key", "_hash", "_rows")
-    kept = written(kept, "ngram-kept")
-    few = kept.count() <= broadcast_nodes
-    pick = F.broadcast(kept) if few else kept.hint("merge")
+    chosen = rows.where("_node is null").unionByName(rows.join(least, same).select(*rows.columns)).select("_key", "_hash", "_rows")
+    chosen = written(chosen, "ngram-kept")
+    few = chosen.count() <= broadcast_nodes
+    pick = F.broadcast(chosen) if few else chosen.hint("merge")
     out = docs.join(pick, docs[key_col].eqNullSafe(pick["_key"]) & (F.xxhash64(docs[text_col]) == pick["_hash"]), "left_semi")
-    return out if kept.where("_rows > 1").isEmpty() else out.dropDuplicates([key_col, text_col])
+    return out if chosen.where("_rows > 1").isEmpty() else out.dropDuplicates([key_col, text_col])

@@ -41,6 +41,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from .shared import worker_state
+
 U64 = np.uint64
 MAGIC = b"VSPACK01"
 BLOCK_IDS = 1 << 16
@@ -243,16 +245,9 @@ class Encoder:
         return first + b"".join([look(p) or get(p, " ") for p in pieces[1:]])
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder(tokenizer_json: str) -> Encoder:
     """This worker's encoder."""
-    key = zlib.crc32(tokenizer_json.encode())
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(tokenizer_json)
-    return _ENCODERS[key]
+    return worker_state(f"encoder-{zlib.crc32(tokenizer_json.encode())}", lambda: Encoder(tokenizer_json))
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_json: str, *, key_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, vocabulary: int | None = None, files: int | None = None) -> list[dict]:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import worker_state
 from .unigram import LITERAL, MARK, Pieces, segments
 
 #: Pre-tokens that a worker remembers, and the longest of these in characters.
@@ -203,6 +204,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, text_col: str = "text", ids_col:
     docs = docs.drop(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("pieces", dict)  # nothing of another operator stays in the worker
         worker = Worker(codec.value)
         for batch in batches:
             for first, part in runs(batch.column(text_col)):
@@ -242,6 +244,7 @@ def round_trips(docs: DataFrame, pieces: Pieces, *, text_col: str = "text", ids_
     kept = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("pieces", dict)  # nothing of another operator stays in the worker
         worker = Worker(codec.value)
         for batch in batches:
             for first, part in runs(batch.column(text_col)):

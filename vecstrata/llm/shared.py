@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +56,25 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[df[c].alias(name) for name, c in wanted.items()])
 
 
+_KEPT: dict[str, Any] = {}
+
+
+def worker_state(name: str, make: Callable[[], Any]) -> Any:
+    """This worker's object of that name. A worker keeps one from task to task; another name takes its place.
+
+    Workers outlive stages, so what one operator remembers must not stay beside what the next one needs.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)  # hands freed memory back
+        except (OSError, AttributeError):
+            pass  # another C library
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, rows: int, *, least_hot: int = 512, most_hot: int = 100_000) -> DataFrame:
     """left joined with right, which has one row per key and in `n` about how many rows of left have it.
 

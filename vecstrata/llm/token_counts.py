@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .sentencepiece_codec import runs
+from .shared import worker_state
 from .unigram import LITERAL, MARK, Pieces, segments
 
 REMEMBERED, LONGEST = 600_000, 48
@@ -80,6 +81,7 @@ def token_counts(docs: DataFrame, pieces: Pieces, *, text_col: str = "text") ->
     kept = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("counts", dict)  # nothing of another operator stays in the worker
         counter = Counter(*shared.value)
         for batch in batches:
             for first, part in runs(batch.column(text_col)):
