@@ -418,7 +418,7 @@ def test_fingerprints(spark, docs, rows):
 
 
 def test_fingerprints_by_plain_python(spark):
-    """Every output of the query, from texts alone: only the hash of a gram is taken from Spark."""
+    """Every output of the query, from texts alone: only the hash of a token is taken from Spark."""
     import regex
 
     base = [f"t{i % 37}x" for i in range(300)]
@@ -426,13 +426,22 @@ def test_fingerprints_by_plain_python(spark):
     rows = [(i * 2, t) for i, t in enumerate(cases)]
     edited = [(t or "")[: len(t or "") - len(t or "") // 4] + (cases[(i + 1) % len(cases)] or "")[: len(t or "") // 4] for i, t in enumerate(cases)]
     tokens = lambda t: regex.findall(fingerprints.TOKENS, t.lower())
-    grams = lambda t: [tuple(tokens(t)[i : i + 3]) for i in range(max(1, len(tokens(t)) - 2))] if tokens(t) else []
-    seen = sorted({g for t in [*cases, *edited] for g in grams(t or "")})
-    made = spark.createDataFrame([(i, *g, *[None] * (3 - len(g))) for i, g in enumerate(seen)], "i int, a string, b string, c string")
-    value = {seen[r["i"]]: (r["h"] % 2**64) >> 28 for r in made.select("i", F.xxhash64("a", "b", "c").alias("h")).collect()}
+    seen = sorted({x for t in [*cases, *edited] for x in tokens(t or "")})
+    made = spark.createDataFrame(list(enumerate(seen)), "i int, a string")
+    token_hash = {seen[r["i"]]: r["h"] % 2**64 for r in made.select("i", F.xxhash64("a").alias("h")).collect()}
+
+    def rolled(text):
+        """The hash of each gram by rolling over the tokens; missing ones count as 0."""
+        h = [token_hash[t] for t in tokens(text)]
+        h += [0] * (3 - len(h)) if h else []
+        out, at = [], 0
+        for i, x in enumerate(h):
+            at = ((at << 14) ^ x ^ (h[i - 3] << 42 if i >= 3 else 0)) % 2**64
+            out += [at >> 28] if i >= 2 else []
+        return out
 
     def kept(text):
-        g = [value[x] for x in grams(text)]
+        g = rolled(text)
         windows = [range(i, min(i + 4, len(g))) for i in range(max(1, len(g) - 3))] if g else []
         places = sorted({min(w, key=lambda p: (g[p], -p)) for w in windows})
         return [(g[p] << 27) | (2**27 - 1 - p) for p in places], [g[p] for p in places]

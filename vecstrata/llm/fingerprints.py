@@ -1,8 +1,10 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
 Tokens are runs of letters and digits, cut after eight characters, and single
-other characters that aren't white space, in lower case. The hash of each k
-successive tokens chains the hashes of their texts; of each window of `width`
+other characters that aren't white space, in lower case. Each token is hashed
+once. The hash of k successive tokens is a rolling one: a step shifts it left, XORs
+the new token's hash in and the shifted hash of the token that leaves out; the shift
+leaves each token 36 bits at least. Of each window of `width`
 such hashes the least is kept, the rightmost one on ties, with its position. So
 any two texts that share k + width - 1 tokens in a row share a kept hash, and
 the positions say where. A kept entry is one long: 36 bits of the hash above 27
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 K, WIDTH = 3, 4
 POSITION_BITS = 27
+HASH_BITS = 63 - POSITION_BITS
 TOKENS = r"[\p{L}\p{M}\p{N}]{1,8}|[^\s\p{L}\p{M}\p{N}]"
 _LAST = (1 << POSITION_BITS) - 1
 #: Documents that stand next to each other in a window, about, and the most windows.
@@ -46,19 +49,32 @@ def _let(value: Column, body) -> Column:
 
 
 def _grams(tokens: Column, k: int) -> Column:
-    def rolled(t: Column) -> Column:
-        n = F.greatest(F.size(t) - k, F.lit(0))
-        at = F.sequence(F.lit(0), n)
-        gram = lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(*[F.get(t, i + j) for j in range(k)]), 28), POSITION_BITS).bitwiseOR(F.lit(_LAST) - i)
-        return F.when(F.size(t) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(at, gram))
+    shift = (64 - HASH_BITS) // max(k - 1, 1)
 
-    return _let(tokens, rolled)
+    def rolled(h: Column) -> Column:
+        def gram(first: Column, i: Column) -> Column:
+            # what the rolling hash holds at this place: array functions carry no state, so its terms are written out
+            value = F.shiftleft(first, shift * (k - 1)) if k > 1 else first
+            for j in range(1, k):
+                value = value.bitwiseXOR(F.shiftleft(F.get(h, i + j), shift * (k - 1 - j)))
+            return F.shiftrightunsigned(value, 1).bitwiseOR(F.lit(_LAST)) - i
+
+        return F.transform(F.slice(h, 1, F.size(h) - k + 1), gram)
+
+    def filled(h: Column) -> Column:
+        few = F.concat(h, F.array_repeat(F.lit(0).cast("long"), F.lit(k) - F.size(h)))
+        return F.when(F.size(h) >= k, h).otherwise(few)
+
+    empty = F.array().cast("array<bigint>")
+    made = F.transform(tokens, lambda t: F.xxhash64(t))
+    return _let(made, lambda h: F.when(F.size(h) == 0, empty).otherwise(_let(filled(h), rolled)))
 
 
 def _winnowed(grams: Column, width: int) -> Column:
     def windows(g: Column) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.size(g) - width + 1, F.lit(1)))
-        return F.when(F.size(g) == 0, g).otherwise(F.array_distinct(F.transform(at, lambda i: F.array_min(F.slice(g, i, F.lit(width))))))
+        # least() passes over the nulls behind the end, which only the one window of a short text reaches
+        least = lambda x, i: F.least(x, *[F.get(g, i + j) for j in range(1, width)]) if width > 1 else x
+        return F.array_distinct(F.transform(F.slice(g, 1, F.greatest(F.size(g) - width + 1, F.lit(1))), least))
 
     return _let(grams, windows)
 
@@ -73,8 +89,8 @@ def positions(kept: Column) -> Column:
     return F.transform(kept, lambda x: (F.lit(_LAST) - x.bitwiseAND(F.lit(_LAST))).cast("int"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of common hashes, from hashes() of both texts; a repeated hash counts each time."""
+def _merged(a: Column, b: Column) -> Column:
+    """How many values two sorted arrays share, each repeat for itself."""
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("same"))
 
     def merge(at: Column, _: Column) -> Column:
@@ -82,10 +98,20 @@ def likeness(a: Column, b: Column) -> Column:
         move = lambda i, j, same: F.struct((at["i"] + i).alias("i"), (at["j"] + j).alias("j"), (at["same"] + same).alias("same"))
         return F.when(x == y, move(1, 1, 1)).when(x < y, move(1, 0, 0)).when(y < x, move(0, 1, 0)).otherwise(at)
 
-    steps = F.when(F.size(a) + F.size(b) > 0, F.sequence(F.lit(1), F.size(a) + F.size(b))).otherwise(F.array().cast("array<int>"))
-    common = F.when(a == b, F.size(a)).otherwise(F.aggregate(steps, start, merge, lambda at: at["same"]))
-    both = F.size(a) + F.size(b) - common
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(common / both)
+    both = (F.size(a) > 0) & (F.size(b) > 0)
+    return F.when(both, F.aggregate(F.sequence(F.lit(1), F.size(a) + F.size(b)), start, merge, lambda at: at["same"])).otherwise(0)
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Share of common hashes, from hashes() of both texts; a repeated hash counts each time.
+
+    Values in both count once each; only the repeats, mostly few, are merged.
+    """
+    again = lambda h: F.filter(h, lambda x, i: (i > 0) & (x == F.get(h, i - 1)))
+    repeats = F.struct(again(a).alias("a"), again(b).alias("b"))
+    common = F.when(a == b, F.size(a)).otherwise(F.size(F.array_intersect(a, b)) + _let(repeats, lambda r: _merged(r["a"], r["b"])))
+    sizes = F.size(a) + F.size(b)
+    return F.when(sizes == 0, F.lit(1.0)).otherwise(_let(common, lambda c: c / (sizes - c)))
 
 
 def digest(kept: Column) -> Column:
