@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -495,7 +496,9 @@ def test_shards_and_slots_by_plain_python(spark, docs, rows):
     """Shard and slot of every row, from the rows' two keys and the matrix alone."""
     parts, seed = 5, 7
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("t"), F.xxhash64("doc_id", text, F.lit(seed)).alias("a"), F.xxhash64(F.lit(seed), text, "doc_id", F.lit("second")).alias("b")).collect()
+    keyed = docs.select("doc_id", text.alias("t"), F.xxhash64("doc_id", text, F.lit(seed)).alias("a"), F.xxhash64(F.lit(seed), text, "doc_id", F.lit("second")).alias("b"))
+    keyed = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("a", "b").orderBy("a")).cast("long") - 1)  # equal rows have keys of their own
+    keyed = keyed.withColumns({c: F.when(F.col("copy") == 0, F.col(c)).otherwise(F.xxhash64(c, "copy")) for c in "ab"}).collect()
     by_part = [sorted((r["a"], r["b"], str(r["doc_id"]), r["t"]) for r in keyed if r["a"] % parts == p) for p in range(parts)]
     matrix = sharding.communication_matrix([len(x) for x in by_part], 6, seed)
     shards = [[] for _ in range(6)]
@@ -507,6 +510,18 @@ def test_shards_and_slots_by_plain_python(spark, docs, rows):
     assert got == want
 
 
+def test_sharding_deals_equal_rows_like_others(spark):
+    n = 3 * sharding.COPIES_AT_ONCE + 5
+    same = spark.range(n).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x").alias("text"))
+    other = spark.range(n, 3 * n).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    got = sharding.shard(same.unionByName(other), shards=8, parts=16).collect()
+    assert len(got) == 3 * n and len({(r["shard"], r["slot"]) for r in got}) == 3 * n
+    for s in range(8):
+        at = sorted(r["slot"] for r in got if r["shard"] == s and r["doc_id"] == 7)
+        assert abs(len(at) - n / 8) < 6 * (n / 8) ** 0.5  # a third of each shard
+        assert abs(sum(b == a + 1 for a, b in zip(at, at[1:])) / len(at) - 1 / 3) < 0.08  # spread inside it
+
+
 def test_matrix_is_exact_and_uniform():
     counts = [5, 0, 17, 40, 1]
     found = np.array([sharding.communication_matrix(counts, 4, s) for s in range(400)])

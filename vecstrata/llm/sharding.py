@@ -10,17 +10,18 @@ shard 0, the next to shard 1 and so on; each shard permutes what it received by
 a second key, and a row's place there is its slot. A shard is sorted in
 `blocks` tasks, by ranges of the second key, so a slot is an offset plus a rank.
 
-Only keys and numbers are shuffled, not the texts. The matrix has parts * shards
-entries, whatever the number of rows.
+Texts are read once: what is known of each row is written as a table of keys and
+numbers, which is counted and dealt. The matrix has parts * shards entries, whatever
+the number of rows.
 
 Law `rows`: shards' row counts differ by one at most. It is the one law that holds:
 a document's shard depends on no other's text, so documents of equal texts (groups)
 are spread over shards like any others; `text_crc32` tells them.
 
 Defined results: a null text counts as empty; a null key is a key like others; rows
-equal in key and text can't be told apart, get different slots, and may stand next
-to each other in a shard; an empty table gives no rows. Columns besides key and text
-are not read.
+equal in key and text are counted and numbered, and each number has random keys of its
+own, so they are dealt like any other rows and no partition gets more for them; an
+empty table gives no rows. Columns besides key and text are not read.
 """
 
 from __future__ import annotations
@@ -32,11 +33,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 SHARDS = 40
 #: Rows that a logical partition gets about, and the most partitions there are.
 PART_ROWS, MOST_PARTS = 250_000, 4096
 #: Tasks that sort one shard.
 BLOCKS = 16
+#: Numbers of equal rows that are made at once.
+COPIES_AT_ONCE = 4096
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -88,14 +93,24 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list
     return out
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with keys of their own for the second and later ones of equal rows."""
+    equal = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    some = equal.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES_AT_ONCE).cast("long"))))
+    each = some.withColumn("copy", F.explode(F.sequence("at", F.least(F.col("at") + COPIES_AT_ONCE, "n") - 1)))
+    own = {c: F.when(F.col("copy") == 0, F.col(c)).otherwise(F.xxhash64(c, "copy")) for c in ("first", "second")}
+    return each.withColumns(own).select(*rows.columns)
+
+
 def shard(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = 20240229, parts: int | None = None, blocks: int = BLOCKS) -> DataFrame:
     """key_col, size (UTF-8 bytes plus 16), text_crc32, law, shard, slot and
     grown_shard (null: the law is not `key`) of each row of docs."""
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[key_col].alias("key"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(docs[key_col], text, F.lit(seed)).alias("first"), F.xxhash64(F.lit(seed), text, docs[key_col], F.lit("second")).alias("second"))
+    rows = written(_numbered(rows), "sharding")
     if parts is None:
-        parts = int(min(MOST_PARTS, max(8, -(-docs.count() // PART_ROWS))))
+        parts = int(min(MOST_PARTS, max(8, -(-rows.count() // PART_ROWS))))
     rows = rows.withColumn("part", F.pmod("first", F.lit(parts)).cast("int"))
     counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
     matrix = communication_matrix([counts.get(p, 0) for p in range(parts)], shards, seed)
