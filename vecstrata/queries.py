@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import quant
 from .operators import parity, recall
 from .operators.filters import IdFilter
-from .operators.scan import Scorer, kernel_values, two_stage
+from .operators.scan import Scorer, kernel_values, select_top_k, two_stage
 from .plans.corpus import Corpus, QuerySet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +130,30 @@ def _random_filter(s: SparkSession, d: str) -> DataFrame:
     return Scorer.F32.top_k(c, query_set(s, d), K, IdFilter.random(c.count(), 0.3, 42))
 
 
+def _given_int8(s: SparkSession, d: str) -> DataFrame:
+    """A scan of codes and scales as a table of their own, asked with codes."""
+    made = corpus(s, d).with_int8().df.select("id", "codes", "scale")
+    return Scorer.I8.top_k(Corpus.from_int8(made), query_set(s, d), K)
+
+
+def _given_bits(s: SparkSession, d: str) -> DataFrame:
+    """A scan of sign bits given as offset-binary bytes."""
+    c = corpus(s, d)
+    made = c.with_bits().df.select("id", F.transform("bit_bytes", lambda b: (b - 128).cast("tinyint")).alias("bits"))
+    hits = Scorer.BIN.top_k(Corpus.from_bits(made, c.dim, offset_binary=True), query_set(s, d), K)
+    return hits.select("qid", "id", (-F.col("score")).cast("int").alias("hamming"), "rank")
+
+
+def _own_score(s: SparkSession, d: str) -> DataFrame:
+    """The best rows by a score of the user's own."""
+    return select_top_k(_vectors(s, d), F.get("x", F.lit(0)), K, "vec_id")
+
+
+def _more_ids(s: SparkSession, d: str) -> DataFrame:
+    """The ids, in order, that a filter of listed ids keeps after more were set."""
+    return IdFilter.from_ids(LISTED_IDS, s).with_ids((5, 9, 499), s).ordered_ids(corpus(s, d))
+
+
 LISTED_IDS = (3, 9, 17, 42, 77, 101, 250, 333, 404, 499)
 
 QUERIES: dict[str, Query] = {
@@ -149,6 +173,11 @@ QUERIES: dict[str, Query] = {
     "filtered_scan_label": _scan(Scorer.F32, lambda s: IdFilter.where("label = 3")),
     "filtered_scan_ids": _scan(Scorer.F32_BIN, lambda s: IdFilter.from_ids(LISTED_IDS, s)),
     "filtered_scan_random": _random_filter,
+    "filtered_scan_empty": _scan(Scorer.F32, lambda s: IdFilter.empty()),
+    "filter_more_ids": _more_ids,
+    "scan_given_int8": _given_int8,
+    "scan_given_bits": _given_bits,
+    "select_top_k": _own_score,
     "rerank_pool": _rerank,
     "two_stage_bin_f32_x8": _two_stage(Scorer.BIN, Scorer.F32, 8),
     "two_stage_f32bin_f32_x8": _two_stage(Scorer.F32_BIN, Scorer.F32, 8),
@@ -240,6 +269,11 @@ e AS ({_EACH.format("q", ", sc", "f")}) SELECT vec_id, sc scale, CAST(i AS INTEG
     "filtered_scan_label": _top("f32", where="b.label = 3"),
     "filtered_scan_ids": _top("f32bin", where=f"b.vec_id IN {LISTED_IDS}"),
     "filtered_scan_random": _random_sql(),
+    "filtered_scan_empty": _top("f32", where="false"),
+    "filter_more_ids": f"SELECT vec_id id FROM embeddings WHERE vec_id IN {(*LISTED_IDS, 5)}",
+    "scan_given_int8": _top("i8"),
+    "scan_given_bits": f"WITH {_BASE}, p AS ({_pairs(f'-{_HAM}')}), r AS (SELECT qid, id, score, {_RANK} rank FROM p) SELECT qid, id, CAST(-score AS INTEGER) hamming, rank FROM r WHERE rank <= {K}",
+    "select_top_k": f"SELECT vec_id id, x[1] score, CAST(row_number() OVER (ORDER BY x[1] DESC, vec_id) AS INTEGER) rank FROM (SELECT vec_id, embedding x FROM embeddings) ORDER BY score DESC, id LIMIT {K}",
     "rerank_pool": _top("i8", where=f"b.vec_id - b.vec_id % {QUERY_EVERY} = a.vec_id"),
     "two_stage_bin_f32_x8": _two("bin", "f32", 8),
     "two_stage_f32bin_f32_x8": _two("f32bin", "f32", 8),
