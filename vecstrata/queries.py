@@ -144,6 +144,13 @@ def _given_bits(s: SparkSession, d: str) -> DataFrame:
     return hits.select("qid", "id", (-F.col("score")).cast("int").alias("hamming"), "rank")
 
 
+def _normalized(s: SparkSession, d: str) -> DataFrame:
+    """Three times each vector (zeros for ids divisible by 7), divided by its norm."""
+    c = corpus(s, d)
+    scaled = c.df.withColumn("embedding", F.transform("embedding", lambda v: F.when(F.col("id") % 7 == 0, F.lit(0.0)).otherwise(v * 3).cast("float")))
+    return Corpus(scaled, c.dim).normalized().df.select(F.col("id").alias("vec_id"), F.posexplode("embedding").alias("dim", "value"))
+
+
 def _own_score(s: SparkSession, d: str) -> DataFrame:
     """The best rows by a score of the user's own."""
     return select_top_k(_vectors(s, d), F.get("x", F.lit(0)), K, "vec_id")
@@ -188,6 +195,7 @@ QUERIES: dict[str, Query] = {
     "binary_parity": _binary_parity,
     "int8_parity": _int8_parity,
     "norm_check": _norm_check,
+    "normalize": _normalized,
 }
 
 _BASE = """s AS (SELECT vec_id, label, embedding x, (list_max(list_transform(embedding, lambda v: abs(v))) / 127::FLOAT)::FLOAT sc FROM embeddings),
@@ -290,5 +298,9 @@ SELECT count(*) vectors, round(sum(h)::DOUBLE / sum(n), 6) bit_mismatch_rate, ro
 h AS (SELECT vec_id, sum(CASE WHEN a = b THEN 1 ELSE 0 END) same, count(*) n, sum(abs(a - b)) diff, max(abs(a - b)) most, sum(a * b)::DOUBLE ab, sum(a * a)::DOUBLE aa, sum(b * b)::DOUBLE bb FROM d GROUP BY vec_id)
 SELECT count(*) vectors, round(sum(same)::DOUBLE / sum(n), 6) elem_exact_rate, round(sum(diff)::DOUBLE / sum(n), 6) mean_abs_diff, CAST(max(most) AS INTEGER) max_abs_diff,
 round(avg(CASE WHEN aa * bb > 0 THEN ab / (sqrt(aa) * sqrt(bb)) ELSE 0 END), 6) mean_cos_sim FROM h""",
+    "normalize": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN vec_id % 7 = 0 THEN 0::FLOAT ELSE (v * 3::FLOAT)::FLOAT END) x FROM embeddings),
+n AS (SELECT vec_id, x, sqrt(list_reduce(list_transform(x, lambda v: v::DOUBLE * v::DOUBLE), lambda t, v: t + v))::FLOAT norm FROM v),
+e AS (SELECT vec_id, unnest(range(len(x))) i, unnest(CASE WHEN norm > 0 THEN list_transform(x, lambda v: (v::DOUBLE / norm::DOUBLE)::FLOAT) ELSE x END) v FROM n)
+SELECT vec_id, CAST(i AS INTEGER) dim, v AS value FROM e""",
     "norm_check": "SELECT count(*) AS rows, round(max(abs(sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))) - 1)), 6) max_deviation FROM embeddings",
 }
