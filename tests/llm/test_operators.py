@@ -460,6 +460,16 @@ def test_fingerprints_by_plain_python(spark):
         assert (r["near_edited"], r["near_next"]) == (pytest.approx(like(t, edited[i])), pytest.approx(like(t, nxt)))
 
 
+def test_fingerprints_of_other_sizes(spark):
+    df = spark.createDataFrame([("a b c d e f",), ("",), (None,), ("a",)], "text string")
+    for k, width in ((1, 1), (29, 2)):
+        got = [r["n"] for r in df.select(F.size(fingerprints.entries(F.coalesce("text", F.lit("")), k, width)).alias("n")).collect()]
+        assert got == [6 if k == 1 else 1, 0, 0, 1]
+    for k, width in ((0, 4), (30, 4), (3, 0)):
+        with pytest.raises(ValueError, match="k must be"):
+            fingerprints.entries(F.col("text"), k, width)
+
+
 def test_likeness(spark):
     r = np.random.default_rng(4)
     bags = [sorted(r.integers(0, 6, n).tolist()) for n in (0, 1, 5, 9, 20, 20)]

@@ -39,7 +39,9 @@ STEP = 256
 
 
 def entries(text: Column, k: int = K, width: int = WIDTH) -> Column:
-    """Kept entries of a text in order of position."""
+    """Kept entries of a text in order of position; k is 29 at most, that tokens keep their bits."""
+    if not 1 <= k <= 65 - HASH_BITS or width < 1:
+        raise ValueError(f"k must be 1 to {65 - HASH_BITS} and width at least 1, not {k} and {width}")
     return _winnowed(_grams(F.regexp_extract_all(F.lower(text), F.lit(TOKENS), F.lit(0)), k), width)
 
 
