@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,6 +105,27 @@ def test_encoder_forgets(bpe, monkeypatch):
     assert zlib.crc32(bpe.encode(text)) == zlib.crc32(np.array(bpe.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
 
 
+def test_encoder_asks_the_library_once_a_word():
+    from types import SimpleNamespace
+
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        bpe = Encoder(f.read())
+    model, asked = bpe.model, []
+    bpe.model = SimpleNamespace(tokenize=lambda s: asked.append(s) or model.tokenize(s))
+    some = ["erwh", "chèlé", "Éna", "tzte", "ofnt", "pfiß", "thly", "ñon"]
+    text = " ".join(f"{a}{mark}\n{b}{mark}" for a in some for b in some for mark in (".", ",$", "..."))
+    assert bpe.encode(text) == np.array(bpe.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(asked) <= 2 * len(some) + 4  # with and without a space; line break and marks
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from("aZ  .,|\n\n\té×ŋɐß日\xa0\x1c'1"), max_size=20) | st.just("<|endoftext|>"), max_size=8), st.sampled_from([1, 20, 1 << 20]))
+def test_encoder_of_many_texts(bpe, texts, size):
+    bpe.SLICE = size
+    want = [np.array(bpe.whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(bpe.encode_all(pa.array(["a .", *texts, " "], pa.string())[1:-1])) == want
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return unigram.load_pieces(tokenizer_path("piece_bpe_32k.model"))

@@ -33,9 +33,11 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,18 +170,23 @@ class Reader:
 class Encoder:
     """Ids by the tokenizers library, remembering those of frequent pieces.
 
-    Byte-level BPE treats each pre-token by itself, and a single space between
-    two other non-space characters always begins one, so a text is cut there and
-    each piece looked up. What has not been seen is encoded by the library; for
-    plain words its model is called without the rest of its machinery. Texts
-    with other white space around a space or with the string of an added token,
-    and tokenizers of another make, go through the library whole.
+    Byte-level BPE treats each pre-token by itself. Texts are cut in numpy where a
+    pre-token surely ends: before a single space between two other non-space
+    characters, around such a lone line break, and between a Latin letter and the
+    ASCII marks after it. Equal pieces are found by Arrow and looked up once a slice
+    of texts; what has not been seen is encoded by the library, words and marks by its
+    model without the rest of its machinery. Texts with other white space around a
+    space or at an end, or with the string of an added token, and tokenizers of
+    another make, go through the library whole.
     """
 
     #: Pieces remembered by a worker; bounds its memory.
     REMEMBERED = 1_200_000
-    _ODD = re.compile(r" \s|\s |\A\s|\s\Z|[\x1c-\x1f\x85]")
-    _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+    #: Bytes of text whose equal pieces are looked up together.
+    SLICE = 8 << 20
+    _ODD = re.compile(r"\A ?[^\S ]|  |\s\Z|[\x1c-\x1f\x85]")
+    #: One pre-token each.
+    _PLAIN = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[!-&(-/:-@\[-`{-~]+)\Z")
 
     def __init__(self, tokenizer_json: str):
         import json
@@ -190,59 +197,115 @@ class Encoder:
         made = json.loads(tokenizer_json)
         pre = made.get("pre_tokenizer") or {}
         self.cuts = made["model"]["type"] == "BPE" and not made.get("normalizer") and not made["model"].get("dropout") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        added = [re.escape(t["content"]) for t in made.get("added_tokens") or () if t["content"]]
-        self.added = re.compile("|".join(added)) if added else None
+        self.added = [t["content"] for t in made.get("added_tokens") or () if t["content"]]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.model = self.whole.model
-        self.marks: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _token_ids(self, pre_token: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(pre_token.encode().decode("latin-1").translate(self.shown))]
-
-    def _new(self, piece: str, space: str) -> bytes:
-        if m := self._PLAIN.match(piece):
-            if m[2]:
-                if (marks := self.marks.get(m[2])) is None:
-                    marks = np.array(self._token_ids(m[2]), "<u4").tobytes()
-                    if len(self.marks) < 10_000:
-                        self.marks[m[2]] = marks
-                return self._get(m[1], space) + marks
-            ids = self._token_ids(space + m[1])
-        elif "\n" in piece and "\n\n" not in piece and not re.search(r"\s(?<!\n)", piece):
-            lines = piece.split("\n")  # a lone line break is a pre-token of its own
-            end = self._token_ids("\n")
-            out = [self._get(lines[0], space)]
-            for line in lines[1:]:
-                out += [np.array(end, "<u4").tobytes(), self._get(line, "")]
-            return b"".join(out)
-        else:
-            ids = self.whole.encode(space + piece, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def _get(self, piece: str, space: str) -> bytes:
-        known = self.later if space else self.first
-        if (got := known.get(piece)) is None:
-            got = self._new(piece, space)
+        self.known: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces not seen yet."""
+        plain = [p for p in pieces if self._PLAIN.match(p)]
+        shown = "\n".join(plain).encode().decode("latin-1").translate(self.shown).split(self.shown[10])
+        tokens = [self.model.tokenize(s) for s in shown] if plain else []
+        ids = np.array([t.id for ts in tokens for t in ts], "<u4").tobytes()
+        ends = [0, *accumulate(4 * len(ts) for ts in tokens)]
+        got = dict(zip(plain, (ids[a:b] for a, b in pairwise(ends)), strict=True))
+        out = [got[p] if p in got else self._whole(p) for p in pieces]
+        if len(self.known) + len(pieces) > self.REMEMBERED:
+            self.known.clear()
+        for piece, i in zip(pieces[: self.REMEMBERED], out, strict=False):
             if len(piece) <= 64:
-                if len(known) >= self.REMEMBERED:
-                    known.clear()
-                known[piece] = got
-        return got
+                self.known[piece] = i
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not self.cuts or self._ODD.search(text) or (self.added and self.added.search(text)):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = text.split(" ")
-        known, get = self.later, self._get
-        look, first = known.get, get(pieces[0], "")
-        return first + b"".join([look(p) or get(p, " ") for p in pieces[1:]])
+        return next(self.encode_all(pa.array([text])))
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text, null ones as empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.cuts:
+            yield from (self._whole(t.as_py()) for t in texts)
+            return
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + self.SLICE, "right")))
+            yield from self._slice(texts[at:to])
+            at = to
+
+    def _slice(self, texts: pa.Array) -> Iterator[bytes]:
+        bounds = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1]
+        first, end = int(bounds[0]), int(bounds[-1])
+        if first == end:
+            yield from (b"" for _ in range(len(texts)))
+            return
+        bounds, data = bounds - first, texts.buffers()[2].slice(first, end - first)
+        offsets = _cuts(np.frombuffer(data, np.uint8), bounds)
+        pieces = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), data).dictionary_encode()
+        index = pieces.indices.to_numpy()
+        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        edges = np.searchsorted(offsets, bounds)  # the pieces of each text
+
+        found = [self.known.get(p) for p in names]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        odd = np.zeros(len(names), bool)
+        odd[[i for i in missing if names[i] != "\n" and self._ODD.search(names[i])]] = True
+        by_text = _odd_ends(np.frombuffer(data, np.uint8), bounds)
+        for added in self.added:
+            by_text |= pc.match_substring(texts, added).to_numpy(zero_copy_only=False)
+        if odd.any():
+            sums = np.concatenate([[0], np.cumsum(odd[index])])
+            by_text |= sums[edges[1:]] > sums[edges[:-1]]
+        if by_text.any():
+            needed = np.bincount(index[np.repeat(~by_text, np.diff(edges))], minlength=len(names)) > 0
+            missing = [i for i in missing if needed[i]]
+        for i, ids in zip(missing, self._new([names[i] for i in missing]), strict=True):
+            found[i] = ids
+        ids = pa.array([i or b"" for i in found], pa.large_binary()).take(pa.array(index))
+        stops = np.frombuffer(ids.buffers()[1], "<i8")[ids.offset :][edges].tolist()
+        out = memoryview(ids.buffers()[2] or b"")
+        for t, a, b in zip(range(len(texts)), stops, stops[1:], strict=False):
+            yield self._whole(texts[t].as_py()) if by_text[t] else bytes(out[a:b])
+
+
+#: Bytes that are white space or control characters, ASCII letters, marks (no apostrophe), second bytes of two-byte characters.
+_LOW, _LETTER, _MARK, _SECOND = (np.array([bool(re.fullmatch(p, bytes([b]))) for b in range(256)]) for p in (rb"[\x00-\x20\x7f]", rb"[A-Za-z]", rb"[!-&(-/:-@\[-`{-~]", rb"[\x80-\xbf]"))
+
+
+def _cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where pieces begin, and the end: at each text and each space, around lone line breaks, before marks after letters."""
+    n = len(data)
+    cut = np.zeros(n + 1, bool)
+    cut[bounds] = True
+    cut[:n] |= data == 32
+    lines = np.flatnonzero(data == 10)
+    lines = lines[(lines > 1) & (lines < n - 1)]
+    before, lead, after = data[lines - 1], data[lines - 2], data[lines + 1]
+    dense = ~_LOW[before] & (before < 128) | _SECOND[before] & (lead >= 0xC3) & (lead < 0xE0)
+    lone = lines[dense & (~_LOW[after] & (after < 128) | (after >= 0xC3) & (after < 0xE0))]
+    cut[lone] = True
+    cut[lone + 1] = True
+    marks = np.flatnonzero(_MARK[data])
+    marks = marks[marks > 1]
+    before, lead = data[marks - 1], data[marks - 2]
+    wide = _SECOND[before] & ((lead == 0xC3) & (before != 0x97) & (before != 0xB7) | (lead > 0xC3) & (lead < 0xC9))
+    cut[marks[_LETTER[before] | wide]] = True
+    return np.flatnonzero(cut)
+
+
+def _odd_ends(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether each text begins or ends with a space or control character."""
+    some = np.diff(bounds) > 0
+    out = np.zeros(len(some), bool)
+    out[some] = _LOW[data[bounds[:-1][some]]] | _LOW[data[bounds[1:][some] - 1]]
+    return out
 
 
 def encoder(tokenizer_json: str) -> Encoder:
@@ -274,12 +337,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, *, key_col: str =
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(given.value).encode
+        encode = encoder(given.value).encode_all
         part, out = TaskContext.get().partitionId(), None
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 out = out or Writer(f"{path}/part-{part:06d}.ids", vocabulary)
-                out.add(key, np.frombuffer(encode(text.as_py() or "") + end, "<u4"))
+                out.add(key, np.frombuffer(ids + end, "<u4"))
         if out:
             docs_n, ids_n = out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "docs": [docs_n], "ids": [ids_n]})
